@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from galleon.llm.common import stored, text_or_empty
 
 #: Words whose ids a worker keeps; the store is emptied when full.
-WORD_STORE = 1_000_000
+WORD_STORE = 1_500_000
 _words: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -37,18 +37,31 @@ def _tokenizer(path: str):
 def token_bytes(text: bytes, path: str) -> bytes:
     """Ids of a UTF-8 text as little-endian unsigned 32-bit words.
 
-    The vocabulary drops white space and never joins what it parts, so each word
-    between ASCII white space is encoded once and looked up afterwards.
+    The vocabulary has no upper case, drops white space and never joins what it
+    parts, so each lower-cased word between ASCII white space is encoded once
+    and looked up afterwards. Full stops and commas after a letter are words of
+    their own. A text that may hold a special token's name is encoded as it is.
     """
+    if b"<|" in text:
+        return np.array(_tokenizer(path).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     known = _words.setdefault(path, {})
-    words = text.split()
-    new = list({w for w in words if w not in known})
+    words = text.lower().split()
+    new = set(words).difference(known)
     if new:
-        if len(known) + len(new) > WORD_STORE:
+        if len(known) + 2 * len(new) > WORD_STORE:
             known.clear()
-            new = list(set(words))
-        for w, e in zip(new, _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            new = set(words)
+        parts = {w: (w, b"") for w in new}
+        for w in new:
+            stem = w.rstrip(b".,")
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                parts[w] = stem, w[len(stem) :]
+        stems = list({p for pair in parts.values() for p in pair if p}.difference(known))
+        for w, e in zip(stems, _tokenizer(path).encode_batch_fast([w.decode() for w in stems], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, tail) in parts.items():
+            if tail:
+                known[w] = known[stem] + known[tail]
     return b"".join([known[w] for w in words])
 
 
