@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a re-read, not a recomputation.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
