@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import payload, shared_path, shuffle_partitions, stored
+from galleon.llm.common import payload, shared_path, stored
 
 #: Samples in a row of the grey image that holds a payload.
 WIDTH = 576
@@ -71,67 +71,59 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_shards(rows: DataFrame, root: str, shard_bytes: int = 256 << 20, compress=to_png) -> DataFrame:
-    """Store each distinct payload once, in tar shards under ``root``; returns the manifest.
+def write_shards(rows: DataFrame, root: str, shard_bytes: int = 256 << 20, encode=to_png) -> DataFrame:
+    """Store payloads in tar shards under ``root``; returns the manifest, one row per digest.
 
-    ``rows`` has (digest, payload). The payloads are encoded where they are read
-    and only the encoded form is shuffled. Copies fall away first within each map
-    task and then at the writer, so a digest that a third of all rows share
-    reaches its writer once a map task. Each member of a shard is named by its
-    digest. The manifest has (digest, shard, offset, length, media_sha256), with
-    the offset of the member's first byte of content.
+    ``rows`` has (digest, payload). Each task appends the payloads that it reads
+    to shards of its own, each distinct one once, so that no payload is shuffled.
+    Only the short entries meet: of the places that different tasks have for one
+    digest the manifest keeps the first. A task can leave at most one spare copy
+    of a digest, however many rows share it. The manifest has (digest, shard,
+    offset, length), with the offset of the member's first byte of content; each
+    member is named by its digest.
 
     A shard's name carries the attempt that wrote it: a task that runs again
     after a loss writes new files, and the manifest only names complete ones.
     """
-    spark = rows.sparkSession
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            names, media = [], []
-            for digest, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest not in seen:
-                    seen.add(digest) if len(seen) < 1_000_000 else None
-                    names.append(digest), media.append(compress(data.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(media, pa.binary())], ["digest", "media"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, part, last, done = TaskContext.get(), 0, None, []
+        task, part, seen, done = TaskContext.get(), 0, set(), []
         out = tar = None
         name = ""
 
-        def rows_done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["digest", "shard", "offset", "length", "media_sha256"])
+        def close() -> pa.RecordBatch:
+            tar.close(), out.close()
+            entries = zip(zip(*done, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in entries], ["digest", "shard", "offset", "length"])
 
         for batch in batches:
             for digest, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest == last:  # the rows are sorted by digest
+                if digest in seen:
                     continue
-                last, media = digest, data.as_py()
+                if len(seen) < 1_000_000:  # beyond that a repeated payload may be stored again
+                    seen.add(digest)
                 if tar is None:
                     name = f"{root}/shard-{task.partitionId():06d}-{task.taskAttemptId()}-{part:04d}.tar"
                     files, path = _store(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(path)
                     tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
+                media = encode(data.as_py())
                 member = tarfile.TarInfo(digest.hex())
                 member.size = len(media)
                 tar.addfile(member, io.BytesIO(media))
-                done.append((digest, name, tar.offset - -(-len(media) // 512) * 512, len(media), hashlib.sha256(media).hexdigest()))
+                done.append((digest, name, tar.offset - -(-len(media) // 512) * 512, len(media)))
                 if tar.offset >= shard_bytes:
-                    tar.close(), out.close()
-                    yield rows_done()
+                    yield close()
                     done, tar, part = [], None, part + 1
         if tar is not None:
-            tar.close(), out.close()
-            yield rows_done()
+            yield close()
 
-    encoded = rows.select("digest", "payload").mapInArrow(encode, "digest binary, media binary")
-    dealt = encoded.repartition(shuffle_partitions(spark), "digest").sortWithinPartitions("digest")
-    return stored(dealt.mapInArrow(write, "digest binary, shard string, offset long, length long, media_sha256 string"), "manifest")
+    entries = stored(rows.select("digest", "payload").mapInArrow(write, "digest binary, shard string, offset long, length long"), "entries")
+    first = entries.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return stored(first.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "manifest")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]):
@@ -199,5 +191,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias(id_col), n.cast("long").alias("n_bytes"), full.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     manifest = write_shards(rows, root)
-    objects = read_headers(manifest).drop("media_sha256").join(read_features(manifest), "digest")
+    objects = read_headers(manifest).join(read_features(manifest), "digest")
     return rows.select(id_col, "n_bytes", "digest").join(objects, "digest").drop("bit_depth")
