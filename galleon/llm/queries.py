@@ -32,6 +32,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), length=2048)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.llm.decontamination import contamination
 
@@ -69,15 +75,15 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), win AS (
-  SELECT DISTINCT item, list_slice(w, at, at + least(10, len(w)) - 1) AS win, least(10, len(w)) AS n
-  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS at FROM b WHERE len(w) > 0)
+  SELECT DISTINCT item, list_slice(w, p0, p0 + least(10, len(w)) - 1) AS win, least(10, len(w)) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p0 FROM b WHERE len(w) > 0)
 ), place AS (
-  SELECT doc_id, n, at, list_slice(w, at, at + n - 1) AS win
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM d, (SELECT DISTINCT n FROM win))
+  SELECT doc_id, n, p0, list_slice(w, p0, p0 + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p0 FROM d, (SELECT DISTINCT n FROM win))
 ), hit AS (
-  SELECT DISTINCT doc_id, at, place.n, item FROM place JOIN win ON place.win = win.win
+  SELECT DISTINCT doc_id, p0, place.n, item FROM place JOIN win ON place.win = win.win
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS p FROM hit) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
 )
