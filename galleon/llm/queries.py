@@ -56,6 +56,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.llm.linededup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.llm.quality import classify
 
