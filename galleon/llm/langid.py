@@ -18,7 +18,7 @@ from galleon.llm.vocabulary import WORD_START, default_vocabulary, pieces
 WORD = re.compile(r"[^\W\d_]{1,24}")
 UNKNOWN = "und"
 #: Words whose scores a worker keeps; the store is emptied when full.
-WORD_STORE = 500_000
+WORD_STORE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,26 +202,42 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         if _scores.get("key") != key:
             _scores.update(key=key, rows={}, table=np.zeros((WORD_STORE, len(languages))))
         rows, table = _scores["rows"], _scores["table"]
+
+        def sums(lists: list[list[str]]) -> list[np.ndarray]:
+            """Log likelihoods of word lists; the words that are new to the worker are scored together."""
+            new = set().union(*lists).difference(rows)
+            if len(rows) + len(new) > WORD_STORE:
+                rows.clear()
+                new = set().union(*lists)
+            if new:
+                new = list(new)
+                table[len(rows) : len(rows) + len(new)] = forward(index, new, prob)
+                rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+            return [table[np.fromiter(map(rows.__getitem__, w), np.int64, len(w))].sum(0) for w in lists]
+
         for batch in batches:
-            found, sure = [], []
-            for text in batch.column(at):
-                words = WORD.findall((text.as_py() or "").lower())
-                if not words or not languages:
-                    found.append(UNKNOWN), sure.append(0.0)
-                    continue
-                total = prior.copy()
-                for k in range(0, len(words), WORD_STORE // 2):
-                    part = words[k : k + WORD_STORE // 2]
-                    new = list({w for w in part if w not in rows})
-                    if len(rows) + len(new) > WORD_STORE:
-                        rows.clear()
-                        new = list(set(part))
-                    if new:
-                        table[len(rows) : len(rows) + len(new)] = forward(index, new, prob)
-                        rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-                    total += table[np.fromiter(map(rows.__getitem__, part), np.int64, len(part))].sum(0)
-                best = int(total.argmax())
-                found.append(languages[best]), sure.append(float(1 / np.exp(total - total[best]).sum()))
+            found, sure, waiting = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, []
+            total = {}
+
+            def settle(waiting=waiting, total=total) -> None:
+                for (row, _), s in zip(waiting, sums([w for _, w in waiting]), strict=True):
+                    total[row] = total.get(row, prior) + s
+                waiting.clear()
+
+            held = 0
+            for row, text in enumerate(batch.column(at)):
+                words = WORD.findall((text.as_py() or "").lower()) if languages else []
+                for k in range(0, len(words), WORD_STORE // 4):
+                    part = words[k : k + WORD_STORE // 4]
+                    waiting.append((row, part))
+                    held += len(part)
+                    if held > WORD_STORE // 2:
+                        settle()
+                        held = 0
+            settle()
+            for row, t in total.items():
+                best = int(t.argmax())
+                found[row], sure[row] = languages[best], float(1 / np.exp(t - t[best]).sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, "lang_pred", "score"])
 
     return docs.select(*names).mapInArrow(score, schema)
