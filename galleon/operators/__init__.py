@@ -1 +1 @@
-"""operators"""
+"""Retrieval operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""plans"""
+"""The registered queries and their SQL."""

@@ -1 +1 @@
-"""streaming"""
+"""Operators on streams."""
