@@ -116,7 +116,7 @@ def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray,
             stretch = np.searchsorted(shift, np.arange(len(text)), "right") - 1
             inside = np.arange(len(text)) - shift[stretch]
             with Scratch(budget) as scratch:
-                found = suffix_array(text, scratch)
+                found = suffix_array(text, scratch, length)
             found = found[inside[found] <= size[stretch[found]] - length]
             # Bytes of UTF-8 end at 244, so the symbols fit one byte.
             prefix = common_prefixes(text.astype(np.uint8), found, length)

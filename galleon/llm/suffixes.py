@@ -11,7 +11,7 @@ import numpy as np
 from galleon.llm.windows import ragged
 
 #: Texts up to this length are sorted by prefix doubling, which ends the recursion.
-BASE = 1024
+BASE = 1 << 17
 
 
 class Scratch:
@@ -48,7 +48,7 @@ class BucketQueue:
     def __init__(self, top: int, buckets: int, scratch: Scratch, budget: int):
         self.width = -(-(top + 1) // buckets)
         self.count = -(-(top + 1) // self.width)
-        self.parts: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         self.files: dict[int, str] = {}
         self.scratch, self.budget, self.held = scratch, budget, 0
 
@@ -56,28 +56,31 @@ class BucketQueue:
         if not len(keys):
             return
         buckets = keys // self.width
-        order = np.argsort(buckets, kind="stable")
-        buckets, pairs = buckets[order], np.stack([keys[order], items[order]], 1)
-        cuts = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
-        for at, part in zip(buckets[np.concatenate([[0], cuts])].tolist(), np.split(pairs, cuts), strict=True):
-            self.parts[at].append(part)
-        self.held += pairs.nbytes
+        if len(keys) > 1:
+            order = np.argsort(buckets, kind="stable")
+            buckets, keys, items = buckets[order], keys[order], items[order]
+        cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(keys)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            self.parts[int(buckets[low])].append((keys[low:high], items[low:high]))
+        self.held += keys.nbytes + items.nbytes
         if self.held > self.budget:
             for at, own in self.parts.items():
                 with open(self.files.setdefault(at, self.scratch.path()), "ab") as f:
                     for part in own:
-                        f.write(np.ascontiguousarray(part).tobytes())
+                        f.write(np.stack(part, 1).tobytes())
             self.parts.clear()
             self.held = 0
 
     def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
         own = self.parts.pop(bucket, [])
-        self.held -= sum(p.nbytes for p in own)
+        self.held -= sum(k.nbytes + i.nbytes for k, i in own)
         if bucket in self.files:
-            own.insert(0, np.fromfile(name := self.files.pop(bucket), np.int64).reshape(-1, 2))
+            pairs = np.fromfile(name := self.files.pop(bucket), np.int64).reshape(-1, 2)
+            own.insert(0, (pairs[:, 0], pairs[:, 1]))
             os.remove(name)
-        pairs = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1]
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([k for k, _ in own]), np.concatenate([i for _, i in own])
 
 
 def _induce(text: np.ndarray, made: np.ndarray, seeds: np.ndarray, first: int | None, scratch: Scratch) -> np.ndarray:
@@ -121,9 +124,11 @@ def _induce(text: np.ndarray, made: np.ndarray, seeds: np.ndarray, first: int |
     return out[:done]
 
 
-def _doubling(text: np.ndarray) -> np.ndarray:
+def _doubling(text: np.ndarray, need: int) -> np.ndarray:
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
     n, k = len(rank), 1
+    if n < 2 or need < 2:
+        return np.argsort(rank, kind="stable")
     while True:
         after = np.concatenate([rank[k:], np.zeros(min(k, n), np.int64)])
         order = np.lexsort((after, rank))
@@ -131,7 +136,7 @@ def _doubling(text: np.ndarray) -> np.ndarray:
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[1], 1 + np.cumsum(step)])
         rank, k = new, 2 * k
-        if n < 2 or rank.max() == n or k >= 2 * n:
+        if rank.max() == n or k >= min(n, need):
             return order
 
 
@@ -146,17 +151,20 @@ def _differ(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np
     return out
 
 
-def suffix_array(text: np.ndarray, scratch: Scratch) -> np.ndarray:
+def suffix_array(text: np.ndarray, scratch: Scratch, need: int | None = None) -> np.ndarray:
     """Positions of all suffixes of a text of small non-negative integers, in order.
 
+    With ``need`` they are in order of their first ``need`` symbols at least. A
+    name stands for two symbols or more, so each level needs half as many.
+
     A suffix is of type S if it is smaller than the next one, else of type L. The
     leftmost S suffixes are sorted first: induction over unsorted ones sorts the
     strings between them, equal strings get equal names, and the text of the names
     is sorted in turn. Two more inductions then sort all L and all S suffixes.
     """
-    n = len(text)
+    n, need = len(text), need or len(text)
     if n <= BASE:
-        return _doubling(text) if n else np.zeros(0, np.int64)
+        return _doubling(text, need)
     step = np.sign(text[1:].astype(np.int64) - text[:-1])
     where = np.where(step != 0, np.arange(n - 1), n - 1)
     where = np.minimum.accumulate(where[::-1])[::-1]
@@ -185,7 +193,7 @@ def suffix_array(text: np.ndarray, scratch: Scratch) -> np.ndarray:
         if names[-1] + 1 < len(least):
             reduced = np.empty(len(least), np.int64)
             reduced[at] = names
-            order = least[suffix_array(reduced, scratch)]
+            order = least[suffix_array(reduced, scratch, need // 2 + 1)]
     up, down = induced(order)
     both = np.concatenate([up, down[::-1]])
     return both[np.argsort(2 * text[both].astype(np.int64) + small[both], kind="stable")]
