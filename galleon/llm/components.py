@@ -12,8 +12,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with an edge; a component is named by its smallest node.
 
     Each step joins the edges with the smallest neighbour of their node, which is
-    aggregated before it is shuffled, and is written to the shared folder. Hubs
-    are plain skewed join keys. Loops, repeated edges and null ends are left out.
+    aggregated before it is shuffled, and is written to the shared folder. The
+    smallest neighbours are written as well, so that the join has two fresh
+    shuffles and Spark can split the rows of a hub. Loops, repeated edges and null
+    ends are left out.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = stored(now, "edges")
@@ -21,11 +23,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         # Large-star: neighbours above a node go to the smallest of it and its neighbours.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large.where(F.col("u") != F.col("v")), "large-star")
         # Small-star: neighbours below a node, and the node, go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = stored(small.where(F.col("u") != F.col("v")).distinct(), "small-star")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
