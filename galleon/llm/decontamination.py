@@ -59,10 +59,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, length: int = 10,
     def hint(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
+    # At most one row for each word of the windows.
     counts = spaced.select(F.explode(_words(F.col("spaced"))).alias("word")).join(hint(wanted), "word").groupBy("word").agg(F.count("*").alias("n"))
     rarest = (
         windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
-        .join(counts, "word")
+        .join(hint(counts), "word")
         .groupBy("window", "items")
         .agg(F.min(F.struct("n", "offset", "word")).alias("first"), F.count("*").alias("found"))
         .where(F.col("found") == F.size("window"))
