@@ -230,11 +230,11 @@ def near_duplicates(
     clusters = connected_components(_alike(stars, nodes, coarse), "leader", "node").withColumnRenamed("component", "cluster")
     members = stored(clusters.join(nodes.select("node", "n_shingles"), "node"), "members")
 
-    # Texts of the nodes: the list of nodes is broadcast only when it is short.
-    few = members.count() <= broadcast_nodes
+    # Texts of the nodes: the list of their places is broadcast only when it is short.
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), payload(text_col).alias("text"))
     wanted = _groups(members.withColumn("bytes", F.col("n_shingles") * 8), percent, block, block_bytes)
     wanted = stored(wanted, "groups").toDF("node", "group")
+    few = wanted.count() <= broadcast_nodes
     held = texts.join(F.broadcast(wanted) if few else wanted, "node")
 
     def compare(table: pa.Table) -> pa.Table:
