@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from random import Random
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,30 +10,73 @@ from pyspark.sql import functions as F
 from galleon.llm.common import shuffle_partitions, stored, text_or_empty
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, bins: int) -> list[int] | None:
-    """The bin of each item, or None if ``bins`` bins of ``capacity`` do not hold them.
+class FreeSpace:
+    """Balanced search tree (a treap) of bins by (free space, bin)."""
 
-    Items go from large to small into the bin whose remaining capacity is the
-    tightest that fits. The bins stand in an ordered index of (remaining, bin),
-    searched by bisection. Ties go to the lower bin.
+    def __init__(self):
+        self.root = None
+        self.random = Random(5)
+
+    @staticmethod
+    def _split(node, key):
+        """The parts of a tree below ``key``, and from it on."""
+        if node is None:
+            return None, None
+        if node[0] < key:
+            low, high = FreeSpace._split(node[3], key)
+            return (*node[:3], low), high
+        low, high = FreeSpace._split(node[2], key)
+        return low, (*node[:2], high, node[3])
+
+    @staticmethod
+    def _join(low, high):
+        if low is None or high is None:
+            return low or high
+        if low[1] > high[1]:
+            return (*low[:3], FreeSpace._join(low[3], high))
+        return (*high[:2], FreeSpace._join(low, high[2]), high[3])
+
+    def add(self, space: int, where: int) -> None:
+        low, high = self._split(self.root, (space, where))
+        self.root = self._join(self._join(low, ((space, where), self.random.random(), None, None)), high)
+
+    def take_tightest(self, need: int) -> tuple[int, int] | None:
+        """Remove and return the bin with the least space of at least ``need``; ties go to the lower bin."""
+        low, high = self._split(self.root, (need, -1))
+        if high is None:
+            return None
+        first = high
+        while first[2] is not None:
+            first = first[2]
+        _, rest = self._split(high, (first[0][0], first[0][1] + 1))
+        self.root = self._join(low, rest)
+        return first[0]
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
+    """The bin of each item in as few bins of ``capacity`` as the rule opens.
+
+    Items go from large to small (ties in their order) into the bin whose
+    remaining capacity is the tightest that fits; a new bin opens when none does.
+    None if that takes more than ``most`` bins, or an item exceeds the capacity.
     """
-    free = [(capacity, b) for b in range(bins)]
-    where = [0] * len(sizes)
+    free, where, opened = FreeSpace(), [0] * len(sizes), 0
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        k = bisect_left(free, (sizes[i], -1))
-        if k == len(free):
-            return None
-        left, b = free.pop(k)
-        where[i] = b
-        insort(free, (left - sizes[i], b))
+        found = free.take_tightest(sizes[i])
+        if found is None:
+            if sizes[i] > capacity or opened == most:
+                return None
+            found, opened = (capacity, opened), opened + 1
+        where[i] = found[1]
+        free.add(found[0] - sizes[i], found[1])
     return where
 
 
 def balanced_bins(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit-decreasing into ``bins`` bins of the smallest capacity that works.
+    """Best-fit-decreasing into at most ``bins`` bins of the smallest capacity that works.
 
-    An item above the mean load sets a floor for the capacity of its own bin
-    only: it takes a bin alone, and the rest are balanced over the other bins.
+    An item of at least the mean load of the bins left takes a bin alone, and the
+    rest are levelled over the other bins.
     """
     where = [0] * len(sizes)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -46,7 +89,8 @@ def balanced_bins(sizes: list[int], bins: int) -> list[int]:
     if not rest:
         return where
     own = [sizes[i] for i in rest]
-    low, high = max(own[0], -(-total // k)), max(own[0], -(-total // k)) + own[0]
+    low = max(own[0], -(-total // k))
+    high = low + own[0]
     while best_fit_decreasing(own, high, k) is None:
         high *= 2
     while low < high:

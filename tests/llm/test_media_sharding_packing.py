@@ -66,12 +66,17 @@ def test_one_object_a_digest_in_tar_members(spark, tmp_path):
 def test_bins(sizes, bins):
     where = balanced_bins(sizes, bins)
     assert len(where) == len(sizes) and all(0 <= b < bins for b in where)
-    packed = best_fit_decreasing(sizes, 100, 40)
-    if packed is not None:
-        load = Counter()
-        for s, b in zip(sizes, packed, strict=True):
-            load[b] += s
-        assert max(load.values(), default=0) <= 100
+    # By a plain scan of all bins.
+    free, want = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fit = min(((space, b) for b, space in enumerate(free) if space >= sizes[i]), default=None)
+        if fit is None:
+            free.append(100)
+            fit = 100, len(free) - 1
+        want[i] = fit[1]
+        free[fit[1]] -= sizes[i]
+    assert best_fit_decreasing(sizes, 100) == want
+    assert best_fit_decreasing([101], 100) is None and best_fit_decreasing([60, 60], 100, 1) is None
 
 
 def test_balanced_bins_gives_a_giant_its_own_bin_and_levels_the_rest():
