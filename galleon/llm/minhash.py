@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,11 @@ def shingles(data: bytes, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
+def bands_for(percent: int, rows: int, miss: float = 1e-7) -> int:
+    """Bands of ``rows`` minima, so that a pair at the threshold shares no band with a probability of at most ``miss``."""
+    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+
+
 class MinHash:
     """``bands * rows`` minima of universal hash functions ``(a * x + b) >> 32`` on 64-bit words."""
 
@@ -191,7 +197,7 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    bands: int = 26,
+    bands: int | None = None,
     rows: int = 5,
     coarse: float = 0.5,
     block: int = 256,
@@ -210,8 +216,9 @@ def near_duplicates(
     components. So no link is taken from an estimate, and none is lost because
     two nodes are not alike to the smallest node of their bucket.
 
-    Two documents at a similarity of 0.85 share no bucket of 26 bands of 5 rows
-    with a probability below 1e-6, and fewer at 0.9.
+    Unless ``bands`` says otherwise there are as many as ``bands_for`` names: two
+    documents right at the threshold share no bucket once in ten million pairs,
+    and more alike ones less often.
 
     Returns (id, n_shingles, component_id, kept), a row for each input row. A
     document without words, null or empty, has size 0 and links with nothing. A
@@ -219,7 +226,7 @@ def near_duplicates(
     repeated rows each is returned, all with the same component. Extra columns
     are ignored; an empty table gives no row. The id is a long.
     """
-    hashes = MinHash(bands, rows)
+    hashes = MinHash(bands or bands_for(percent, rows), rows)
     described = stored(_described(docs, hashes, id_col, text_col, width).withColumnRenamed(id_col, "id"), "signatures")
     with_words = described.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     nodes = with_words.groupBy("key").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
