@@ -114,7 +114,8 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float = 0.5, id_col
 
     drops = both.select("id", "h", "size", "earlier").mapInArrow(align, "dropped_id long, drop array<int>").where(F.size("drop") > 0)
     drops = stored(drops.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops")
-    joined = docs.select(*names).join(drops, same(docs[id_col], drops["dropped_id"]), "left").drop("dropped_id")
+    # One plan for all sizes: a short list of drops could be broadcast, a long one could not.
+    joined = docs.select(*names).join(drops.hint("merge"), same(docs[id_col], drops["dropped_id"]), "left").drop("dropped_id")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
     at = names.index(text_col)
 
