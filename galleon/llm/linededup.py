@@ -78,6 +78,7 @@ def overlapping(lines: DataFrame, least: int, rare_share: float) -> DataFrame:
     limit = max(2, int(lines.count() * rare_share))
     each = lines.select("id", F.explode(F.array_distinct(F.arrays_zip("h", "size"))).alias("x")).select("id", F.col("x.h").alias("h"), F.col("x.size").alias("size")).where("size > 0")
     held = each.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).select("h", "first")
+    held = stored(held, "held")  # the join then has two fresh shuffles, and Spark can split a line's rows
     return each.join(held, "h").where("first < id").groupBy("id", "first").agg(F.sum("size").alias("shared")).where(F.col("shared") >= least).select("id", "first")
 
 
@@ -104,7 +105,7 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float = 0.5, id_col
     )
     lines = stored(lines, "lines")
     pairs = stored(overlapping(lines, least, rare_share), "pairs")
-    own = lines.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    own = stored(lines.where(F.col("id").isNotNull()).dropDuplicates(["id"]), "own")
     both = pairs.join(own.select("id", "h", "size"), "id").join(own.select(F.col("id").alias("first"), F.col("h").alias("earlier")), "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
