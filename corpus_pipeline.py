@@ -41,14 +41,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep one document, the smallest id, of each group of near-duplicates."""
     groups = near_duplicates(docs, width=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.select(*COLUMNS).join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window of a benchmark item occurs."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
     bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.select(*COLUMNS).join(bad, same(F.col("doc_id"), F.col("bad")), "left_anti")
+    return docs.select(*COLUMNS).join(bad.hint("merge"), same(F.col("doc_id"), F.col("bad")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
