@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +111,63 @@ def _band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "bands").mapInArrow(split, "node long, band long")
 
 
-def _alike(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Edges whose sketches (the low byte of each minimum) agree in a share of at least ``least``."""
+def _band_pairs(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, band) with a key for each pair of a band that is left and another band of the node."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one = batch.column(1).to_numpy().astype(np.int64).view(np.uint64)[:, None]
+                other = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+                at, which = np.nonzero(one != other)
+                keys = _mixed(_mixed(one * _A + _C)[at, 0] * _B + other[at, which])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.view(np.int64))], ["node", "band"])
+
+    return left.join(nodes.select("node", "bands"), "node").select("node", "band", "bands").mapInArrow(pair, "node long, band long")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with the share of their minima that agree, by sketches (the low byte of each minimum)."""
     sketches = nodes.select("node", "sketch")
-    both = edges.join(sketches, "node").withColumnRenamed("sketch", "one").join(sketches.toDF("leader", "other"), "leader").select("leader", "node", "one", "other")
+    both = pairs.join(sketches, "node").withColumnRenamed("sketch", "one").join(sketches.toDF("leader", "other"), "leader").select("leader", "node", "one", "other")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= least))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1))], ["leader", "node", "alike"])
+
+    return both.mapInArrow(compare, "leader long, node long, alike double")
+
+
+def _stars(nodes: DataFrame, coarse: float, tight: float, rounds: int) -> DataFrame:
+    """(leader, node, alike): edges such that nodes which share a bucket and are alike end up connected.
 
-    return both.mapInArrow(keep, "leader long, node long")
+    The smallest node of a bucket leads it. A node that is ``coarse`` alike to
+    its leader gets an edge, and one that is ``tight`` alike leaves the bucket;
+    the others choose their next leader among themselves. As ``tight`` exceeds
+    ``coarse`` by more than linked nodes can differ in their likeness to a third,
+    a node never leaves without an edge to what its own links are joined to.
+
+    After ``rounds`` leaders, buckets are parted further by a second band, which
+    linked nodes share as well. What is left after as many rounds more is joined
+    whatever its likeness, so that nothing is dropped.
+    """
+    left, edges = _band_rows(nodes), []
+    for step in range(2 * rounds + 1):
+        heads = left.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
+        stars = stored(left.join(heads, "band").where("node <> leader"), "stars")
+        pairs = stored(_alike(stars.select("leader", "node").distinct(), nodes), "pairs")
+        if step == 2 * rounds:
+            edges.append(pairs)
+            break
+        edges.append(pairs.where(F.col("alike") >= coarse))
+        left = stored(stars.join(pairs.where(F.col("alike") < tight), ["leader", "node"], "left_semi").select("node", "band"), "left")
+        if left.isEmpty():
+            break
+        if step == rounds - 1:
+            left = stored(_band_pairs(left, nodes), "band-pairs")
+    return reduce(DataFrame.union, edges)
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -162,35 +208,41 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return forest
 
 
-def _groups(clusters: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
+def _star_groups(edges: DataFrame, members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(node, group): each node meets the leader that it is most alike to, in blocks of bounded size."""
+    near = members.join(edges.groupBy("node").agg(F.max_by("leader", "alike").alias("leader")), "node")
+    sizes = near.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("k"))
+    sizes = stored(sizes, "leaders")
+
+    def name(part):
+        return F.concat_ws("/", F.lit("star"), "leader", part)
+
+    own = near.join(sizes, "leader").select("node", name(F.pmod(F.xxhash64("node"), F.col("k"))).alias("group"))
+    return own.union(sizes.select("leader", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), name))))
+
+
+def _groups(members: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
     """(node, group): every two nodes of a cluster whose set sizes allow a link meet in some group.
 
-    A small cluster is one group. A large one is cut by size class, whose width is
-    the ratio of sizes that a link allows, and by hash into blocks; a group is a
-    pair of blocks of the same or neighbouring classes.
+    Settled nodes of a cluster are connected already and need not meet each
+    other. Each cluster is cut by size class, whose width is the ratio of sizes
+    that a link allows, and by hash into blocks; a group is a pair of blocks of
+    the same or neighbouring classes.
     """
-    whole = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    sized = clusters.join(whole, "cluster")
-    fits = (F.col("n") <= 2 * block) & (F.col("b") <= 2 * block_bytes)
-    one = sized.where(fits).select("node", F.concat_ws("/", "cluster").alias("group"))
-    # The epsilon widens no class: sizes at exactly the ratio may fall one class apart, as the groups allow.
-    large = sized.where(~fits).select("cluster", "node", "bytes", F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("class"))
-    counts = large.groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("k"))
-    counts = stored(counts, "blocks")
-    near = counts.select("cluster", (F.col("class") - 1).alias("class"), F.col("k").alias("above"))
-    under = counts.select("cluster", (F.col("class") + 1).alias("class"), F.col("k").alias("below"))
-    dealt = large.join(counts, ["cluster", "class"]).join(near, ["cluster", "class"], "left").join(under, ["cluster", "class"], "left")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-
-    def name(low, i, high, j):
-        return F.concat_ws("/", "cluster", low, i, high, j)
-
-    c = F.col("class")
-    inside = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: name(c, F.least("own", j), c, F.greatest("own", j)))
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: name(c, F.col("own"), c + 1, j)))
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: name(c - 1, j, c, F.col("own"))))
-    empty = F.array().cast("array<string>")
-    return one.union(dealt.select("node", F.explode(F.concat(inside, F.coalesce(up, empty), F.coalesce(down, empty)))))
+    # Sizes at exactly the ratio may fall one class apart, as the groups allow.
+    classed = members.select("cluster", "node", "settled", "bytes", F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("class"))
+    parts = classed.groupBy("cluster", "class", "settled").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("k"))
+    parts = stored(parts, "blocks")
+
+    def name(kind, settled, number):
+        return F.concat_ws(".", kind, settled.cast("int"), number)
+
+    own = classed.join(parts, ["cluster", "class", "settled"])
+    own = own.select("cluster", "node", "settled", "class", name(F.col("class"), F.col("settled"), F.pmod(F.xxhash64("node"), F.col("k"))).alias("own"))
+    meets = own.select("cluster", "node", "own", F.col("settled").alias("from"), F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"))
+    met = meets.join(parts, ["cluster", "class"]).where(~(F.col("from") & F.col("settled")))
+    met = met.select("cluster", "node", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: name(F.col("class"), F.col("settled"), j))).alias("other"))
+    return met.select("node", F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group")).distinct()
 
 
 def near_duplicates(
@@ -200,6 +252,7 @@ def near_duplicates(
     bands: int | None = None,
     rows: int = 5,
     coarse: float = 0.5,
+    rounds: int = 2,
     block: int = 256,
     block_bytes: int = 8 << 20,
     broadcast_nodes: int = 1_000_000,
@@ -208,13 +261,18 @@ def near_duplicates(
 ) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` or more.
 
-    Rows with equal sets are one node. The minima of each node are banded; nodes
-    in one bucket are joined to its smallest node, so a bucket of any size makes
-    as many edges as rows. Edges whose sketches disagree fall away, and
-    components of the rest are coarse clusters. Inside a cluster the full sets
-    are compared exactly, in blocks of bounded size, and the links found give the
-    components. So no link is taken from an estimate, and none is lost because
-    two nodes are not alike to the smallest node of their bucket.
+    Rows with equal sets are one node. The minima of each node are banded, and
+    each bucket joins its nodes to leaders that they are roughly alike to by
+    their sketches (see ``_stars``), so a bucket of any size makes edges in
+    proportion to its rows. Components of these edges are coarse clusters.
+
+    Links come from full sets only. A small cluster is compared as one group. In a
+    large one each node is first compared with its leader, in blocks; of the
+    components that this gives, the largest is settled, and only the rest of the
+    cluster is compared with it and with each other, again in blocks. So a large
+    group of near copies costs one comparison for each, no link is taken from an
+    estimate, and none is lost because two nodes are unlike the smallest node of
+    their bucket.
 
     Unless ``bands`` says otherwise there are as many as ``bands_for`` names: two
     documents right at the threshold share no bucket once in ten million pairs,
@@ -231,18 +289,15 @@ def near_duplicates(
     with_words = described.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     nodes = with_words.groupBy("key").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
     nodes = stored(nodes, "nodes")
-    by_band = _band_rows(nodes)
-    leaders = by_band.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    stars = by_band.join(leaders, "band").where("node <> leader").select("leader", "node").distinct()
-    clusters = connected_components(_alike(stars, nodes, coarse), "leader", "node").withColumnRenamed("component", "cluster")
-    members = stored(clusters.join(nodes.select("node", "n_shingles"), "node"), "members")
+    # A tenth covers the error of the estimates besides what links allow.
+    edges = _stars(nodes, coarse, coarse + 1 - percent / 100 + 0.1, rounds)
+    clusters = connected_components(edges, "leader", "node").withColumnRenamed("component", "cluster")
+    members = clusters.join(nodes.select("node", "n_shingles", (F.col("n_shingles") * 8).alias("bytes")), "node")
+    sizes = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("cluster").agg(((F.count("*") <= 2 * block) & (F.sum("n_shingles") * 8 <= 2 * block_bytes)).alias("fits"))
+    members = stored(members.join(stored(sizes, "clusters"), "cluster"), "members")
+    large = members.where(~F.col("fits")).drop("fits")
 
-    # Texts of the nodes: the list of their places is broadcast only when it is short.
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), payload(text_col).alias("text"))
-    wanted = _groups(members.withColumn("bytes", F.col("n_shingles") * 8), percent, block, block_bytes)
-    wanted = stored(wanted, "groups").toDF("node", "group")
-    few = wanted.count() <= broadcast_nodes
-    held = texts.join(F.broadcast(wanted) if few else wanted, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_pylist()
@@ -250,10 +305,25 @@ def near_duplicates(
         found = links_within([shingles(table.column("text")[k].as_py(), width) for _, k in first], percent) if len(first) > 1 else []
         return pa.table({"a": pa.array([first[i][0] for i, _ in found], pa.int64()), "b": pa.array([first[j][0] for _, j in found], pa.int64())})
 
-    links = held.groupBy("group").applyInArrow(compare, "a long, b long")
-    found = connected_components(links, "a", "b")
-    named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    def links(groups: DataFrame) -> DataFrame:
+        """Links inside groups; the list of the texts' places is broadcast only when it is short."""
+        wanted = stored(groups, "groups")
+        few = wanted.count() <= broadcast_nodes
+        return stored(texts.join(F.broadcast(wanted) if few else wanted, "node").groupBy("group").applyInArrow(compare, "a long, b long"), "links")
+
+    found = members.where("fits").select("node", F.col("cluster").cast("string").alias("group"))
+    if not large.isEmpty():
+        to_leaders = links(_star_groups(edges, large.select("node", "bytes"), block, block_bytes))
+        joined = large.join(connected_components(to_leaders, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        joined = stored(joined, "joined")
+        largest = joined.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        parted = joined.join(stored(largest, "largest"), "cluster").withColumn("settled", F.col("component") == F.col("main"))
+        found = to_leaders.union(links(found.union(_groups(parted, percent, block, block_bytes))))
+    else:
+        found = links(found)
+    linked = connected_components(found, "a", "b")
+    named = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     own = described.select("id", "key", "n_shingles")
-    linked = own.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).join(named, "key").select("id", "n_shingles", F.col("component"))
+    known = own.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).join(named, "key").select("id", "n_shingles", F.col("component"))
     alone = own.where((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return known.union(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

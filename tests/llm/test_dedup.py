@@ -158,6 +158,20 @@ def test_near_duplicates_against_brute_force(spark, block):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_survive_buckets_led_by_unlike_documents(spark):
+    rng = random.Random(11)
+    base = ["b%d" % i for i in range(60)]
+    rows = [(i, " ".join([*base, *("u%d_%d" % (i, k) for k in range(38))])) for i in range(120)]  # all share 58 of 96 shingles
+    for i in range(100, 120):
+        own = rows[i][1].split()
+        own[rng.randrange(80, 98)] = "x%d" % i
+        rows.append((i + 100, " ".join(own)))
+    found = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert found == {i: c for i, (_, c) in components(rows, 3, 85).items()} and len(set(found.values())) == 120
+    small = near_duplicates(frame(spark, rows), 3, 85, coarse=0.9, rounds=1, block=16)  # most edges come from the last step
+    assert {r.doc_id: r.component_id for r in small.collect()} == found
+
+
 def test_signatures_estimate_similarity():
     m = MinHash(40, 5)
     a, b = shingles(b" ".join(b"%d" % i for i in range(1000))), shingles(b" ".join(b"%d" % i for i in range(100, 1000)))
