@@ -111,21 +111,6 @@ def _band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "bands").mapInArrow(split, "node long, band long")
 
 
-def _band_pairs(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, band) with a key for each pair of a band that is left and another band of the node."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one = batch.column(1).to_numpy().astype(np.int64).view(np.uint64)[:, None]
-                other = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
-                at, which = np.nonzero(one != other)
-                keys = _mixed(_mixed(one * _A + _C)[at, 0] * _B + other[at, which])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.view(np.int64))], ["node", "band"])
-
-    return left.join(nodes.select("node", "bands"), "node").select("node", "band", "bands").mapInArrow(pair, "node long, band long")
-
-
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with the share of their minima that agree, by sketches (the low byte of each minimum)."""
     sketches = nodes.select("node", "sketch")
@@ -140,7 +125,30 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "leader long, node long, alike double")
 
 
-def _stars(nodes: DataFrame, coarse: float, tight: float, rounds: int) -> DataFrame:
+def _alike_in_buckets(left: DataFrame, nodes: DataFrame, coarse: float, block: int) -> DataFrame:
+    """(leader, node, alike): a spanning forest, for each pair of blocks of a bucket, of the pairs that are ``coarse`` alike."""
+    sizes = stored(left.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("k")), "buckets")
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    blocks = left.join(sizes, "band").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct("band", F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).alias("group"))
+    held = blocks.join(nodes.select("node", "sketch"), "node").select("group", "node", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = np.unique(table.column("node").to_numpy(), return_index=True)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)[ids[1]]
+        found, root = [], np.arange(len(sketch))
+        for i in range(len(sketch) - 1):  # a row against all later ones
+            alike = (sketch[i + 1 :] == sketch[i]).mean(1)
+            for j in np.flatnonzero((alike >= coarse) & (root[i + 1 :] != root[i])).tolist():
+                if root[i + 1 + j] != root[i]:
+                    root[root == root[i + 1 + j]] = root[i]
+                    found.append((i, i + 1 + j, alike[j]))
+        cols = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table({"leader": pa.array(ids[0][np.array(cols[0], int)], pa.int64()), "node": pa.array(ids[0][np.array(cols[1], int)], pa.int64()), "alike": pa.array(cols[2], pa.float64())})
+
+    return held.groupBy("group").applyInArrow(compare, "leader long, node long, alike double")
+
+
+def _stars(nodes: DataFrame, coarse: float, tight: float, rounds: int, block: int) -> DataFrame:
     """(leader, node, alike): edges such that nodes which share a bucket and are alike end up connected.
 
     The smallest node of a bucket leads it. A node that is ``coarse`` alike to
@@ -148,26 +156,21 @@ def _stars(nodes: DataFrame, coarse: float, tight: float, rounds: int) -> DataFr
     the others choose their next leader among themselves. As ``tight`` exceeds
     ``coarse`` by more than linked nodes can differ in their likeness to a third,
     a node never leaves without an edge to what its own links are joined to.
-
-    After ``rounds`` leaders, buckets are parted further by a second band, which
-    linked nodes share as well. What is left after as many rounds more is joined
-    whatever its likeness, so that nothing is dropped.
+    What is left of a bucket after ``rounds`` leaders is compared in blocks, so
+    that nothing is dropped.
     """
     left, edges = _band_rows(nodes), []
-    for step in range(2 * rounds + 1):
+    for step in range(rounds):
         heads = left.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
         stars = stored(left.join(heads, "band").where("node <> leader"), "stars")
         pairs = stored(_alike(stars.select("leader", "node").distinct(), nodes), "pairs")
-        if step == 2 * rounds:
-            edges.append(pairs)
-            break
         edges.append(pairs.where(F.col("alike") >= coarse))
         left = stored(stars.join(pairs.where(F.col("alike") < tight), ["leader", "node"], "left_semi").select("node", "band"), "left")
         if left.isEmpty():
-            break
-        if step == rounds - 1:
-            left = stored(_band_pairs(left, nodes), "band-pairs")
-    return reduce(DataFrame.union, edges)
+            return reduce(DataFrame.union, edges)
+    crowded = left.groupBy("band").count().where("count > 1").select("band")
+    left = stored(left.join(crowded, "band"), "left")
+    return reduce(DataFrame.union, edges).union(stored(_alike_in_buckets(left, nodes, coarse, block), "rest"))
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -290,7 +293,7 @@ def near_duplicates(
     nodes = with_words.groupBy("key").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
     nodes = stored(nodes, "nodes")
     # A tenth covers the error of the estimates besides what links allow.
-    edges = _stars(nodes, coarse, coarse + 1 - percent / 100 + 0.1, rounds)
+    edges = _stars(nodes, coarse, coarse + 1 - percent / 100 + 0.1, rounds, 4 * block)
     clusters = connected_components(edges, "leader", "node").withColumnRenamed("component", "cluster")
     members = clusters.join(nodes.select("node", "n_shingles", (F.col("n_shingles") * 8).alias("bytes")), "node")
     sizes = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("cluster").agg(((F.count("*") <= 2 * block) & (F.sum("n_shingles") * 8 <= 2 * block_bytes)).alias("fits"))
