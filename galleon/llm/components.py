@@ -13,9 +13,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each step joins the edges with the smallest neighbour of their node, which is
     aggregated before it is shuffled, and is written to the shared folder. The
-    smallest neighbours are written as well, so that the join has two fresh
-    shuffles and Spark can split the rows of a hub. Loops, repeated edges and null
-    ends are left out.
+    smallest neighbours of the large-star step are written as well, so that the
+    join has two fresh shuffles and Spark can split the rows of a hub. Loops,
+    repeated edges and null ends are left out.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = stored(now, "edges")
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large.where(F.col("u") != F.col("v")), "large-star")
         # Small-star: neighbours below a node, and the node, go to the smallest of them.
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = stored(small.where(F.col("u") != F.col("v")).distinct(), "small-star")
         # Done when each node has one edge at most and hangs from one that has none: all is stars.

@@ -127,7 +127,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _alike_in_buckets(left: DataFrame, nodes: DataFrame, coarse: float, block: int) -> DataFrame:
     """(leader, node, alike): a spanning forest, for each pair of blocks of a bucket, of the pairs that are ``coarse`` alike."""
-    sizes = stored(left.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("k")), "buckets")
+    sizes = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    sizes = stored(sizes, "buckets")
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     blocks = left.join(sizes, "band").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct("band", F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).alias("group"))
     held = blocks.join(nodes.select("node", "sketch"), "node").select("group", "node", "sketch")
@@ -168,13 +169,11 @@ def _stars(nodes: DataFrame, coarse: float, tight: float, rounds: int, block: in
         left = stored(stars.join(pairs.where(F.col("alike") < tight), ["leader", "node"], "left_semi").select("node", "band"), "left")
         if left.isEmpty():
             return reduce(DataFrame.union, edges)
-    crowded = left.groupBy("band").count().where("count > 1").select("band")
-    left = stored(left.join(crowded, "band"), "left")
     return reduce(DataFrame.union, edges).union(stored(_alike_in_buckets(left, nodes, coarse, block), "rest"))
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets: pairs with 100 * intersection >= percent * union."""
+    """The smallest set that each other one is connected to by links: pairs with 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -202,13 +201,10 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    forest = []
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
         a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            forest.append((i, j))
-    return forest
+        root[max(a, b)] = min(a, b)
+    return [(find(i), i) for i in range(len(sets)) if find(i) != i]
 
 
 def _star_groups(edges: DataFrame, members: DataFrame, block: int, block_bytes: int) -> DataFrame:
@@ -245,7 +241,7 @@ def _groups(members: DataFrame, percent: int, block: int, block_bytes: int) -> D
     meets = own.select("cluster", "node", "own", F.col("settled").alias("from"), F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"))
     met = meets.join(parts, ["cluster", "class"]).where(~(F.col("from") & F.col("settled")))
     met = met.select("cluster", "node", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: name(F.col("class"), F.col("settled"), j))).alias("other"))
-    return met.select("node", F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group")).distinct()
+    return met.select("node", F.concat_ws("/", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
 
 
 def near_duplicates(
@@ -270,9 +266,9 @@ def near_duplicates(
     proportion to its rows. Components of these edges are coarse clusters.
 
     Links come from full sets only. A small cluster is compared as one group. In a
-    large one each node is first compared with its leader, in blocks; of the
-    components that this gives, the largest is settled, and only the rest of the
-    cluster is compared with it and with each other, again in blocks. So a large
+    large one each node is first compared with its leader, in blocks; what this
+    connects to the leader with the most nodes is settled, and only the rest of
+    the cluster is compared with it and with each other, again in blocks. So a large
     group of near copies costs one comparison for each, no link is taken from an
     estimate, and none is lost because two nodes are unlike the smallest node of
     their bucket.
@@ -295,10 +291,9 @@ def near_duplicates(
     # A tenth covers the error of the estimates besides what links allow.
     edges = _stars(nodes, coarse, coarse + 1 - percent / 100 + 0.1, rounds, 4 * block)
     clusters = connected_components(edges, "leader", "node").withColumnRenamed("component", "cluster")
-    members = clusters.join(nodes.select("node", "n_shingles", (F.col("n_shingles") * 8).alias("bytes")), "node")
-    sizes = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("cluster").agg(((F.count("*") <= 2 * block) & (F.sum("n_shingles") * 8 <= 2 * block_bytes)).alias("fits"))
-    members = stored(members.join(stored(sizes, "clusters"), "cluster"), "members")
-    large = members.where(~F.col("fits")).drop("fits")
+    members = stored(clusters.join(nodes.select("node", "n_shingles", (F.col("n_shingles") * 8).alias("bytes")), "node"), "members")
+    fits = (F.count("*") <= 2 * block) & (F.sum("bytes") <= 2 * block_bytes)
+    large = stored(members.groupBy("cluster").agg(fits.alias("fits")).where(~F.col("fits")).select("cluster"), "large")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), payload(text_col).alias("text"))
 
@@ -312,18 +307,19 @@ def near_duplicates(
         """Links inside groups; the list of the texts' places is broadcast only when it is short."""
         wanted = stored(groups, "groups")
         few = wanted.count() <= broadcast_nodes
-        return stored(texts.join(F.broadcast(wanted) if few else wanted, "node").groupBy("group").applyInArrow(compare, "a long, b long"), "links")
-
-    found = members.where("fits").select("node", F.col("cluster").cast("string").alias("group"))
-    if not large.isEmpty():
-        to_leaders = links(_star_groups(edges, large.select("node", "bytes"), block, block_bytes))
-        joined = large.join(connected_components(to_leaders, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        joined = stored(joined, "joined")
-        largest = joined.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        parted = joined.join(stored(largest, "largest"), "cluster").withColumn("settled", F.col("component") == F.col("main"))
-        found = to_leaders.union(links(found.union(_groups(parted, percent, block, block_bytes))))
+        return texts.join(F.broadcast(wanted) if few else wanted, "node").groupBy("group").applyInArrow(compare, "a long, b long")
+
+    groups = members.join(large, "cluster", "left_anti").select("node", F.col("cluster").cast("string").alias("group"))
+    if large.isEmpty():
+        found = links(groups)
     else:
-        found = links(found)
+        parted = members.join(large, "cluster")
+        to_leaders = stored(links(_star_groups(edges, parted.select("node", "bytes"), block, block_bytes)), "to-leaders")
+        # Leaders are smaller than their nodes, so the pairs of a star group name its leader first.
+        main = to_leaders.groupBy(F.col("a").alias("node")).count().join(parted, "node").groupBy("cluster").agg(F.max_by("node", F.struct("count", "node")).alias("main"))
+        close = to_leaders.join(stored(main, "main"), F.col("a") == F.col("main")).select(F.col("b").alias("close")).distinct()
+        parted = parted.join(stored(close, "close"), F.col("node") == F.col("close"), "left").withColumn("settled", F.col("close").isNotNull())
+        found = to_leaders.union(links(groups.union(_groups(parted, percent, block, block_bytes))))
     linked = connected_components(found, "a", "b")
     named = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     own = described.select("id", "key", "n_shingles")
