@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_store: list = [None, {}]
+
+
+def worker_store(name: str) -> dict:
+    """A dictionary that a Python worker keeps between tasks, until another name is asked for.
+
+    So a worker that lives through many stages holds what one of them has stored.
+    """
+    if _store[0] != name:
+        _store[:] = name, {}
+    return _store[1]
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 

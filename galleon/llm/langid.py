@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import crc_fold
+from galleon.llm.common import crc_fold, worker_store
 from galleon.llm.vocabulary import WORD_START, default_vocabulary, pieces
 
 #: Letter runs, cut at 24 letters, so that probabilities stay far above the smallest double.
 WORD = re.compile(r"[^\W\d_]{1,24}")
 UNKNOWN = "und"
 #: Words whose scores a worker keeps; the store is emptied when full.
-WORD_STORE = 1_000_000
+WORD_STORE = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +67,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        for part in np.array_split(rows, -(-len(rows) // 50_000)):
+        for part in np.array_split(rows, -(-len(rows) // 10_000)):
             text = "".join(WORD_START + words[i] for i in part)
             yield part, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(part), n + 1)
 
@@ -179,9 +179,6 @@ def fit(train: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     return LanguageModel(path, languages, np.stack([prob[x] for x in languages], 1) if languages else np.zeros((size, 0)), shares / max(1, shares.sum()))
 
 
-_scores: dict[str, object] = {}
-
-
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add (lang_pred, score): the likeliest language and its posterior probability.
 
@@ -199,9 +196,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, languages, prob, prior = shared.value
         index = _index(path)
-        if _scores.get("key") != key:
-            _scores.update(key=key, rows={}, table=np.zeros((WORD_STORE, len(languages))))
-        rows, table = _scores["rows"], _scores["table"]
+        store = worker_store(f"languages-{key}")
+        if not store:
+            store.update(rows={}, table=np.zeros((WORD_STORE, len(languages))))
+        rows, table = store["rows"], store["table"]
 
         def sums(lists: list[list[str]]) -> list[np.ndarray]:
             """Log likelihoods of word lists; the words that are new to the worker are scored together."""

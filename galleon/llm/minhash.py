@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import payload, stored
+from galleon.llm.common import payload, stored, worker_store
 from galleon.llm.components import connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -76,7 +76,8 @@ def _described(docs: DataFrame, hashes: MinHash, id_col: str, text_col: str, wid
     kind = dict(docs.dtypes)[id_col]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, bool] = worker_store("minhash")
+        seen.clear()
         for batch in batches:
             keys, sizes, where, signatures = [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -85,7 +86,7 @@ def _described(docs: DataFrame, hashes: MinHash, id_col: str, text_col: str, wid
                 keys.append(key), sizes.append(len(x))
                 if len(x) and key not in seen:
                     if len(seen) < 1_000_000:
-                        seen.add(key)
+                        seen[key] = True
                     where.append(row), signatures.append(hashes.signature(x))
             bands, sketches = [None] * len(keys), [None] * len(keys)
             if where:

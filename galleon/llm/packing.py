@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import stored, text_or_empty
+from galleon.llm.common import stored, text_or_empty, worker_store
 
 #: Words whose ids a worker keeps; the store is emptied when full.
 WORD_STORE = 1_500_000
-_words: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -44,7 +43,7 @@ def token_bytes(text: bytes, path: str) -> bytes:
     """
     if b"<|" in text:
         return np.array(_tokenizer(path).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    known = _words.setdefault(path, {})
+    known = worker_store(f"tokens-{path}")
     words = text.lower().split()
     new = set(words).difference(known)
     if new:

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galleon.llm.common import worker_store
 from galleon.llm.vocabulary import WORD_START, default_vocabulary, pieces
 
 #: Pre-tokens and trie nodes that a worker keeps; they are emptied when full.
 STORE = 500_000
-_counters: dict = {}
 
 
 @lru_cache(maxsize=4)
@@ -95,9 +95,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     kind = dict(docs.dtypes)[id_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path)
-        counter = _counters[path]
+        store = worker_store(f"trie-{path}")
+        if not store:
+            store["counter"] = TokenCounter(path)
+        counter = store["counter"]
         for batch in batches:
             found = [counter.of(t.as_py()) for t in batch.column(1)]
             cols = list(zip(*found, strict=True)) or [[], [], []]
