@@ -6,11 +6,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galleon.llm.common import same, stored, text_or_empty
+from galleon.llm.windows import mixed, prefix_hashes, span_hashes
+
+#: Each further round of a run that is not aligned yet takes so many times the holders of the round before.
+WIDER = 16
 
 
 def _anchors(a: Sequence, b: Sequence, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -69,11 +74,11 @@ def repeated_lines(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], lea
 def overlapping(lines: DataFrame, least: int, rare_share: float) -> DataFrame:
     """Pairs (id, first): a later document and the earliest holder of a rare line of its own.
 
-    ``lines`` has (id, h, size) with arrays. Each line names one earlier document
-    at most, so a line that many documents share makes as many pairs as rows.
-    Lines in more than ``rare_share`` of all documents name none. A pair whose
-    shared lines have fewer than ``least`` characters in all falls away, as no
-    block of it could be deleted.
+    ``lines`` has (id, h, size) with arrays. Lines in more than ``rare_share`` of
+    all documents name no earlier document. A pair whose shared lines have fewer
+    than ``least`` characters in all falls away. Blocks that are in an earlier
+    document, but in none of the pairs, are lost: ``line_dedup`` asks for these
+    pairs only where it is given a ``rare_share``.
     """
     limit = max(2, int(lines.count() * rare_share))
     each = lines.select("id", F.explode(F.array_distinct(F.arrays_zip("h", "size"))).alias("x")).select("id", F.col("x.h").alias("h"), F.col("x.size").alias("size")).where("size > 0")
@@ -82,13 +87,102 @@ def overlapping(lines: DataFrame, least: int, rare_share: float) -> DataFrame:
     return each.join(held, "h").where("first < id").groupBy("id", "first").agg(F.sum("size").alias("shared")).where(F.col("shared") >= least).select("id", "first")
 
 
-def line_dedup(docs: DataFrame, least: int = 60, rare_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minimal_runs(starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (low, high) of the shortest runs of lines with ``least`` characters, from each first line and to each last one.
+
+    ``starts`` are the first lines of the documents and the end of the last one.
+    Every line of a common block of ``least`` characters is in a run that lies in the block.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    end = np.repeat(starts[1:], np.diff(starts))
+    begin = np.repeat(starts[:-1], np.diff(starts))
+    line = np.arange(len(sizes))
+    high = np.searchsorted(total, total[:-1] + least, "left")
+    low = np.searchsorted(total, total[1:] - least, "right") - 1
+    down, up = high <= end, low >= begin
+    spans = np.unique(np.stack([np.append(line[down], low[up]), np.append(high[down], line[up] + 1)], 1), axis=0)
+    return spans[:, 0], spans[:, 1]
+
+
+def runs_of(own: DataFrame, least: int) -> DataFrame:
+    """(id, run, low, high): the minimal runs of each document's lines, with a hash of their lines."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, size = batch.column(1), batch.column(2)
+            starts = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            low, high = minimal_runs(starts, size.flatten().to_numpy(zero_copy_only=False).astype(np.int64), least)
+            run = mixed(span_hashes(prefix_hashes(h.flatten().to_numpy(zero_copy_only=False).view(np.uint64)), low, high)).view(np.int64)
+            doc = np.searchsorted(starts, low, "right") - 1
+            cols = (batch.column(0).take(pa.array(doc)), pa.array(run), pa.array((low - starts[doc]).astype(np.int32)), pa.array((high - starts[doc]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(list(cols), ["id", "run", "low", "high"])
+
+    return own.select("id", "h", "size").mapInArrow(spread, "id long, run long, low int, high int")
+
+
+def aligned(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
+    """(dropped_id, drop): the lines that the later documents of ``pairs`` lose, each once."""
+    both = pairs.join(own.select("id", "h", "size"), "id").join(own.select(F.col("id").alias("first"), F.col("h").alias("earlier")), "first")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [repeated_lines(a.as_py(), b.as_py(), s.as_py(), least) for a, b, s in zip(batch.column(3), batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["dropped_id", "drop"])
+
+    drops = both.select("id", "h", "size", "earlier").mapInArrow(align, "dropped_id long, drop array<int>")
+    return drops.select("dropped_id", F.explode("drop").alias("line")).distinct().groupBy("dropped_id").agg(F.collect_list("line").alias("drop"))
+
+
+def repeated_in_earlier(own: DataFrame, least: int) -> DataFrame:
+    """(dropped_id, drop): the lines that documents lose to all the earlier ones, as if aligned with each.
+
+    A copy of an earlier document loses all its lines. The others are aligned
+    with the earliest holder of each of their minimal runs. Where that leaves a
+    run in place, as it is moved or repeated in one of the two, more of its
+    holders are tried, ``WIDER`` times as many each round, until the run is
+    deleted or there is no other holder.
+    """
+    least = max(1, least)
+    copies = stored(own.groupBy(F.xxhash64("h", "size").alias("content")).agg(F.min("id").alias("id")).select("id"), "originals")
+    total = F.aggregate("size", F.lit(0).cast("long"), lambda n, x: n + x)
+    whole = own.join(copies, "id", "left_anti").where(total >= least).select(F.col("id").alias("dropped_id"), F.sequence(F.lit(0), F.size("h") - 1).alias("drop"))
+    found = stored(whole, "copies")
+    runs = stored(runs_of(own.join(copies, "id", "left_semi"), least), "runs")
+    held = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    held = stored(held, "held")  # the join then has two fresh shuffles, and Spark can split a run's rows
+    shared = stored(runs.join(held, "run"), "shared")
+    pairs, left = shared.where("first < id").select("id", "first").distinct(), shared.where("first < id")
+    most = held.agg(F.max("n")).first()[0] or 0
+    # A holder's round, by a hash of its id: about WIDER holders of a run in the first, and so on.
+    place = F.pmod(F.xxhash64("first"), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("n")
+    holders = shared.select("run", F.col("id").alias("first"), "n").distinct()
+    reach = 0
+    while True:
+        drops = stored(aligned(stored(pairs, "pairs"), own, least), "aligned")
+        found = found.union(drops)
+        if reach >= most:
+            return found
+        # Runs with a line that no round has deleted; the lines of earlier rounds are no longer among those looked for.
+        rest = F.array_except(F.coalesce("rest", F.sequence("low", F.col("high") - 1)), F.coalesce("drop", F.array().cast("array<int>")))
+        left = left if "rest" in left.columns else left.withColumn("rest", F.lit(None).cast("array<int>"))
+        left = left.join(drops, F.col("id") == F.col("dropped_id"), "left").select("id", "run", "low", "high", rest.alias("rest")).where(F.size("rest") > 0)
+        left = stored(left, "left")
+        if left.isEmpty():
+            return found
+        low, reach = reach, (reach or 1) * WIDER
+        tried = holders.where((place >= low) & (place < reach))
+        pairs = left.select("id", "run").distinct().join(tried, "run").where("first < id").select("id", "first").distinct()
+
+
+def line_dedup(docs: DataFrame, least: int = 60, rare_share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delete from each document the lines of blocks that it shares with an earlier one.
 
-    Documents (smaller id: earlier) that share rare lines are aligned by patience
-    diff on 64-bit line hashes, and the later one loses the aligned common blocks
-    of at least ``least`` characters. Each deleted line still stands in its
-    earliest holder, which no pair can take it from.
+    Documents (smaller id: earlier) are aligned by patience diff on 64-bit line
+    hashes, and the later one loses the aligned common blocks of at least
+    ``least`` characters, whichever earlier documents they are aligned with.
+    With a ``rare_share`` only the earliest holders of lines in at most that
+    share of all rows are aligned with. Each deleted line still stands in an
+    earlier document, as the earliest of its holders is cut by none.
 
     Returns the input's columns with the kept text in ``text_col``, and n_lines,
     n_removed. Other columns, n_lines and n_removed excepted, stay as they are. A
@@ -104,17 +198,9 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float = 0.5, id_col
         F.transform("x", lambda x: F.length(F.trim(x))).alias("size"),
     )
     lines = stored(lines, "lines")
-    pairs = stored(overlapping(lines, least, rare_share), "pairs")
     own = stored(lines.where(F.col("id").isNotNull()).dropDuplicates(["id"]), "own")
-    both = pairs.join(own.select("id", "h", "size"), "id").join(own.select(F.col("id").alias("first"), F.col("h").alias("earlier")), "first")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [repeated_lines(a.as_py(), b.as_py(), s.as_py(), least) for a, b, s in zip(batch.column(3), batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["dropped_id", "drop"])
-
-    drops = both.select("id", "h", "size", "earlier").mapInArrow(align, "dropped_id long, drop array<int>").where(F.size("drop") > 0)
-    drops = stored(drops.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops")
+    found = repeated_in_earlier(own, least) if rare_share is None else aligned(stored(overlapping(lines, least, rare_share), "pairs"), own, least)
+    drops = stored(found.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops")
     # One plan for all sizes: a short list of drops could be broadcast, a long one could not.
     joined = docs.select(*names).join(drops.hint("merge"), same(docs[id_col], drops["dropped_id"]), "left").drop("dropped_id")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")

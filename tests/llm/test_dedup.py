@@ -221,3 +221,38 @@ def test_line_dedup_against_brute_force(spark):
         assert r.text == (text if not gone else "\n".join(x for k, x in enumerate(own) if k not in gone))
         assert (r.n_lines, r.n_removed) == (len(own), len(gone))
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def aligned_with_all(rows):
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    gone = {i: set() for i in lines}
+    for i, own in lines.items():
+        sizes = [len(x.strip(" ")) for x in own]
+        for f in lines:
+            if f < i:
+                gone[i] |= set(repeated_lines(lines[f], own, sizes, 60))
+    return gone
+
+
+def removed_lines(spark, rows):
+    return {r.doc_id: r.n_removed for r in line_dedup(frame(spark, rows)).collect()}
+
+
+def test_blocks_of_short_or_repeated_lines_go(spark):
+    p, q = "p" * 40, "q" * 40
+    assert removed_lines(spark, [(1, p), (2, q), (3, f"{p}\n{q}"), (4, f"{p}\n{q}")]) == {1: 0, 2: 0, 3: 0, 4: 2}
+    again = "\n".join(["r" * 30] * 5)
+    assert removed_lines(spark, [(1, again), (2, again), (3, again + "\nend")]) == {1: 0, 2: 5, 3: 5}
+
+
+def test_line_dedup_aligns_with_all_earlier_documents(spark):
+    rng = random.Random(17)
+    pool = [f"l{i} " + "w" * rng.randrange(1, 80) for i in range(25)] + ["", " "]
+    rows = [(0, None), (1, "")] + [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in range(2, 250)]
+    rows += [(i, rows[rng.randrange(250)][1]) for i in range(250, 270)]
+    want = aligned_with_all(rows)
+    text = dict(rows)
+    for r in line_dedup(frame(spark, rows).repartition(4)).collect():
+        kept = [x for k, x in enumerate((text[r.doc_id] or "").split("\n")) if k not in want[r.doc_id]]
+        assert r.n_removed == len(want[r.doc_id]) and r.text == (text[r.doc_id] if not r.n_removed else "\n".join(kept))
+    assert sum(map(len, want.values())) > 200
