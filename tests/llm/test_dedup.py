@@ -256,3 +256,13 @@ def test_line_dedup_aligns_with_all_earlier_documents(spark):
         kept = [x for k, x in enumerate((text[r.doc_id] or "").split("\n")) if k not in want[r.doc_id]]
         assert r.n_removed == len(want[r.doc_id]) and r.text == (text[r.doc_id] if not r.n_removed else "\n".join(kept))
     assert sum(map(len, want.values())) > 200
+
+
+def test_lines_in_most_documents_go_at_every_size(spark):
+    line = "licence " * 10
+    few = [(i, line) for i in range(3)] + [(3, "other"), (4, "text")]
+    more = few + [(i, f"own {i}") for i in range(5, 21)]
+    footer = [(i, f"own {i}\n{line}") for i in range(20)] + [(i, f"none {i}") for i in range(20, 30)]
+    for rows in (few, more):
+        assert [i for i, n in removed_lines(spark, rows).items() if n] == [1, 2]
+    assert sorted(i for i, n in removed_lines(spark, footer).items() if n) == list(range(1, 20))
