@@ -19,6 +19,10 @@ from galleon.llm.windows import CHUNK, first_equal, mixed, prefix_hashes, ragged
 GRAM = 16
 #: Bytes of texts that a map task looks at together.
 BATCH = 8 << 20
+#: Windows of crowded minimizers that a map task looks at together.
+SPLIT = 1 << 18
+#: Pieces of texts that are looked at for crowded minimizers, and one in how many at most is.
+PIECE, EVERY = 8192, 64
 
 
 class Runs:
@@ -132,25 +136,46 @@ def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray,
     return _merged(*(np.concatenate(c) for c in zip(*spans, strict=True)))
 
 
-def _routed(docs: DataFrame, length: int, shards: int) -> DataFrame:
-    """(shard, runs, doc, low, high): packed runs for each shard, and the spans that a task could settle by itself."""
+def crowded(docs: DataFrame, length: int, bound: int, total: int) -> tuple[np.ndarray, int]:
+    """Keys of minimizers with more than about ``bound`` bytes of runs, and the number of their windows.
+
+    Estimated from a sample of pieces of the texts. Equal runs count once for each
+    batch of a map task at most, as they travel. Which keys are named affects the
+    load of shards only, not the result.
+    """
+    every = max(1, min(EVERY, bound // 20_000))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                at = np.arange(0, len(data) - length + 1, PIECE)
+                if len(data) > PIECE:
+                    at = at[mixed(at.astype(np.uint64) + np.uint64(doc % (1 << 64))) % np.uint64(every) == 0]
+                for k in at.tolist():
+                    part = data[k : k + PIECE + length - 1] if len(data) > PIECE else data
+                    first, last, key, _ = window_runs(part, length, GRAM)
+                    h = mixed(span_hashes(prefix_hashes(part), first, last + length))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(last - first + 1)], ["key", "run", "windows"])
+
+    chosen = docs.where((F.octet_length("bytes") > PIECE) | (F.pmod(F.xxhash64("doc"), F.lit(every)) == 0))
+    runs = chosen.mapInArrow(count, "key long, run long, windows long").groupBy("key", "run").agg(F.count("*").alias("n"), F.max("windows").alias("windows"))
+    n = F.least(F.col("n") * every, F.lit(max(1, -(-total // BATCH))))
+    keys = runs.groupBy("key").agg(F.sum(n * (F.col("windows") + length - 1)).alias("load"), F.sum(n * F.col("windows")).alias("windows")).where(F.col("load") > bound).collect()
+    return np.sort(np.array([r.key for r in keys], np.int64).view(np.uint64)), sum(r.windows for r in keys)
+
+
+def _routed(docs: DataFrame, length: int, shards: int, split: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """(shard, runs, doc, low, high): packed runs for each shard, and the spans that a task could settle by itself.
+
+    Runs whose key is in ``split`` (sorted) are taken apart: each of their windows
+    goes by its own bytes. Equal windows have equal minimizers, so they still meet.
+    """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            data = np.concatenate([np.frombuffer(t, np.uint8) for t in texts])
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            base = 0
-            for doc, text in zip(ids, texts, strict=True):
-                for k in range(0, len(text) - length + 1, CHUNK):
-                    part = data[base + k : base + min(len(text), k + CHUNK + length - 1)]
-                    first, last, key, single = window_runs(part, length, GRAM)
-                    size = last - first + length
-                    h = span_hashes(prefix_hashes(part), first, last + length)
-                    for c, x in zip(cols, (np.full(len(first), doc), first + k, size, key, single, mixed(h), first + (base + k)), strict=True):
-                        c.append(x)
-                base += len(text)
+        def packed(cols: list[list[np.ndarray]], data: np.ndarray) -> pa.RecordBatch:
             doc, start, size, key, single, h, offset = map(np.concatenate, cols)
             first = first_equal(h, size, offset, doc, start, data)
             gone = (doc[first] != doc) | (start[first] != start)
@@ -165,11 +190,40 @@ def _routed(docs: DataFrame, length: int, shards: int) -> DataFrame:
                 blobs.append(Runs(doc[own], start[own], size[own], key[own] & np.uint64(0xFFFFFFFF), single[own], data[ragged(offset[own], size[own])]).pack())
                 names.append(shard[own[0]])
             n, m = len(blobs), len(spans[0])
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array([*names, *(spans[0] % shards)], pa.int32()), pa.array([*blobs, *([None] * m)], pa.binary()), *(pa.array([*([None] * n), *c.tolist()], pa.int64()) for c in spans)],
                 ["shard", "runs", "doc", "low", "high"],
             )
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            data = np.concatenate([np.frombuffer(t, np.uint8) for t in texts])
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            base = apart = 0
+            for doc, text in zip(ids, texts, strict=True):
+                for k in range(0, len(text) - length + 1, CHUNK):
+                    part = data[base + k : base + min(len(text), k + CHUNK + length - 1)]
+                    first, last, key, single = window_runs(part, length, GRAM)
+                    prefix = prefix_hashes(part)
+                    h = mixed(span_hashes(prefix, first, last + length))
+                    if len(split):
+                        hit = split[np.minimum(np.searchsorted(split, key), len(split) - 1)] == key
+                        if hit.any():
+                            alone = ragged(first[hit], last[hit] - first[hit] + 1)
+                            own = mixed(span_hashes(prefix, alone, alone + length))
+                            first, last = np.append(first[~hit], alone), np.append(last[~hit], alone)
+                            key, h = np.append(key[~hit], mixed(own)), np.append(h[~hit], own)
+                            single = np.append(single[~hit], np.ones(len(alone), bool))
+                            apart += len(alone)
+                    size = last - first + length
+                    for c, x in zip(cols, (np.full(len(first), doc), first + k, size, key, single, h, first + (base + k)), strict=True):
+                        c.append(x)
+                    if apart >= SPLIT:
+                        yield packed(cols, data)
+                        cols, apart = [[] for _ in range(7)], 0
+                base += len(text)
+            if cols[0]:
+                yield packed(cols, data)
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(doc), texts.append(text.as_py())
@@ -188,10 +242,12 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int = 32 << 20, bu
 
     Each window goes, with its run, to the shard of its minimizer; there are as
     many shards as the input needs for about ``shard_bytes`` of runs in each.
+    Minimizers with more than a quarter of that are spread over all shards.
     """
     long_enough = docs.where(F.octet_length("bytes") >= length)
     total = long_enough.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(8, -(-total * 7 // 2 // shard_bytes))
+    split, apart = crowded(long_enough, length, shard_bytes // 4, total)
+    shards = max(8, -(-(total * 7 // 2 + apart * length) // shard_bytes))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(spans) -> pa.RecordBatch:
@@ -215,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int = 32 << 20, bu
         if parts:
             yield settled(parts)
 
-    routed = _routed(long_enough, length, shards)
+    routed = _routed(long_enough, length, shards, split)
     return routed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, "doc long, low long, high long")
 
 

@@ -11,6 +11,7 @@ from galleon.llm import minhash, suffixes
 from galleon.llm.components import connected_components
 from galleon.llm.linededup import line_dedup, patience_blocks, repeated_lines
 from galleon.llm.minhash import MinHash, links_within, near_duplicates, shingles
+from galleon.llm import suffixdedup
 from galleon.llm.suffixdedup import remove_repeats
 from galleon.llm.suffixes import Scratch, common_prefixes, suffix_array
 from galleon.llm.windows import window_runs
@@ -266,3 +267,28 @@ def test_lines_in_most_documents_go_at_every_size(spark):
     for rows in (few, more):
         assert [i for i, n in removed_lines(spark, rows).items() if n] == [1, 2]
     assert sorted(i for i, n in removed_lines(spark, footer).items() if n) == list(range(1, 20))
+
+
+def test_windows_of_one_minimizer_are_spread_over_shards(spark, monkeypatch):
+    rng = random.Random(23)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = own(130)
+    rows = [(i, own(150) + passage + own(150)) for i in range(300)]
+    rows += [(300 + i, rows[i][1][100:350] + own(60)) for i in range(0, 300, 7)]
+    docs = frame(spark, rows).selectExpr("doc_id AS doc", "encode(text, 'UTF-8') AS bytes")
+    loads, plain = [], suffixdedup._routed
+
+    def watched(*args):
+        routed = plain(*args).cache()
+        loads.append(Counter())
+        for r in routed.where("runs IS NOT NULL").collect():
+            loads[-1][r.shard] += len(suffixdedup.Runs.unpack(bytes(r.runs)).data)
+        return routed
+
+    monkeypatch.setattr(suffixdedup, "_routed", watched)
+    found = defaultdict(set)
+    for r in suffixdedup.repeated_spans(docs, 100, shard_bytes=40_000).collect():
+        found[r.doc].update(range(r.low, r.high))
+    want = removed(rows, 100)
+    assert {i: len(found[i]) for i, _ in rows} == {i: w[1] for i, w in want.items()}
+    assert max(loads[0].values()) < 40_000 * 1.5
