@@ -24,9 +24,14 @@ SURE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language: not ``und``, and not torn between languages."""
+    """Keep documents in a recognised language: not ``und``, and not torn between languages.
+
+    Where no row has a language to learn from, nothing can be recognised and all stay.
+    """
     known = F.col("lang").isNotNull() & F.col("text").isNotNull()
     model = fit(training_rows(docs, known, FIT_ROWS).select("text", "lang"))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     return predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
 
 

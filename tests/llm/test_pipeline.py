@@ -32,5 +32,10 @@ def test_empty_documents_pass_the_pipeline(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(3).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert sorted(corpus_pipeline.language_id(spark, docs, SF).collect()) == sorted(docs.collect())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
