@@ -27,6 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a recognised language: not ``und``, and not torn between languages.
 
     Where no row has a language to learn from, nothing can be recognised and all stay.
+    A null or empty text has no letter and goes. Null ids and repeated rows are rows
+    like others, an empty table gives no row, extra columns are left out.
     """
     known = F.col("lang").isNotNull() & F.col("text").isNotNull()
     model = fit(training_rows(docs, known, FIT_ROWS).select("text", "lang"))
@@ -36,28 +38,47 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that an earlier document has; a document left without any text goes."""
+    """Cut lines that an earlier document has; a document left without any text goes.
+
+    A document that loses nothing stays as it is, null text included, as does a row
+    with a null id. Of rows that repeat an id and its text all are cut alike. An empty
+    table gives no row; extra columns are left out.
+    """
     out = line_dedup(docs.select(*COLUMNS))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select("doc_id", "text", "lang", "source", size)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest id, of each group of near-duplicates."""
+    """Keep one document, the smallest id, of each group of near-duplicates.
+
+    Null and empty texts, and rows with a null id, are like nothing and stay; of rows
+    that repeat an id and its text one stays. An empty table gives no row; extra
+    columns are left out.
+    """
     groups = near_duplicates(docs, width=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.select(*COLUMNS).join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a window of a benchmark item occurs."""
+    """Drop documents in which a window of a benchmark item occurs.
+
+    Null and empty texts stay. Rows that share an id, a null one included, go
+    together if any of them is hit. An empty table gives no row, an empty benchmark
+    drops none; extra columns are left out.
+    """
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
     bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
     return docs.select(*COLUMNS).join(bad.hint("merge"), same(F.col("doc_id"), F.col("bad")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents, packed into sequences of 2048."""
+    """Token pieces of the remaining documents, packed into sequences of 2048.
+
+    A null or empty text is one piece with the end id alone; each row, repeated or
+    with a null id, is packed. An empty table gives no row.
+    """
     return best_fit_packing(docs.select("doc_id", "text"), length=2048)
 
 

@@ -22,6 +22,17 @@ def worker_store(name: str) -> dict:
     return _store[1]
 
 
+#: Rows that go to a Python worker at a time. Rows hold whole texts here, so Spark's own 10,000 would take much memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows where it has Spark's default; another value stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import payload, stored, worker_store
+from galleon.llm.common import payload, small_batches, stored, worker_store
 from galleon.llm.components import connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -284,6 +284,7 @@ def near_duplicates(
     repeated rows each is returned, all with the same component. Extra columns
     are ignored; an empty table gives no row. The id is a long.
     """
+    small_batches(docs.sparkSession)
     hashes = MinHash(bands or bands_for(percent, rows), rows)
     described = stored(_described(docs, hashes, id_col, text_col, width).withColumnRenamed(id_col, "id"), "signatures")
     with_words = described.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
