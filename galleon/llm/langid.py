@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import crc_fold, worker_store
+from galleon.llm.common import crc_fold, small_batches, worker_store
 from galleon.llm.vocabulary import WORD_START, default_vocabulary, pieces
 
-#: Letter runs, cut at 24 letters, so that probabilities stay far above the smallest double.
-WORD = re.compile(r"[^\W\d_]{1,24}")
+#: Runs of letters with the marks on them, whole whatever their length. Numerals such as ² or ½ are no letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
-#: Words whose scores a worker keeps; the store is emptied when full.
-WORD_STORE = 500_000
+#: Words whose scores a worker keeps, and their numbers (one for each language); the store is emptied when full.
+WORD_STORE, STORE_CELLS = 300_000, 1 << 21
+#: Steps after which sums are scaled, so that they stay far above the smallest double.
+SCALE = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,55 +64,82 @@ class PieceIndex:
             yield length, ids
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, code points) of the words of each length, with the word mark before them."""
+def _by_length(words: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, code points) of the words of each length, with the word mark before them; ``width`` numbers a row bound a batch."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == n)
-        for part in np.array_split(rows, -(-len(rows) // 10_000)):
+        most = max(1, min(10_000, 250_000 // (n + 1), STORE_CELLS // (width * SCALE)))
+        for part in np.array_split(rows, -(-len(rows) // most)):
             text = "".join(WORD_START + words[i] for i in part)
-            yield part, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(part), n + 1)
+            yield part, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), n + 1)
 
 
 def forward(index: PieceIndex, words: list[str], prob: np.ndarray) -> np.ndarray:
-    """Log probability of each word under each column of ``prob`` (pieces x languages), all segmentations summed."""
+    """Log probability of each word under each column of ``prob`` (pieces x languages), all segmentations summed.
+
+    Only the sums of as many places as the longest piece has are held. They are
+    scaled every few places, so a word of any length is summed as a whole.
+    """
     out = np.zeros((len(words), prob.shape[1]))
-    for rows, chars in _by_length(words):
+    for rows, chars in _by_length(words, prob.shape[1]):
         n = chars.shape[1]
         spans = list(index.spans(chars))
-        alpha = np.zeros((n + 1, len(rows), prob.shape[1]))
+        ring = len(spans) + 1
+        alpha, scale = np.zeros((ring, len(rows), prob.shape[1])), 0.0
         alpha[0] = 1
         for end in range(1, n + 1):
+            now = np.zeros(alpha.shape[1:])
             for length, ids in spans[:end]:
                 own = ids[:, end - length]
                 hit = np.flatnonzero(own >= 0)
-                alpha[end, hit] += alpha[end - length, hit] * prob[own[hit]]
-        out[rows] = np.log(alpha[n])
+                now[hit] += alpha[(end - length) % ring, hit] * prob[own[hit]]
+            alpha[end % ring] = now
+            if end % SCALE == 0 and end < n:
+                top = alpha.max(0)
+                alpha /= top
+                scale = scale + np.log(top)
+        out[rows] = np.log(alpha[n % ring]) + scale
     return out
 
 
+def _scaled_sums(spans: list[tuple[int, np.ndarray]], n: int, words: int, prob: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the segmentations before (``back``: after) each place, and the logs of their scales."""
+    sums, scales = np.zeros((n + 1, words)), np.zeros((n + 1, words))
+    place = (lambda k: n - k) if back else (lambda k: k)
+    sums[place(0)] = 1
+    for k in range(1, n + 1):
+        near = range(max(0, k - len(spans)), k)
+        if k % SCALE == 1 and k > 1:  # what the next places are summed from gets one new scale
+            at = [place(i) for i in near]
+            top = sums[at].max(0)
+            held, offset = sums[at] / top, scales[at[-1]] + np.log(top)
+        elif k == 1:
+            held, offset = sums[[place(0)]], scales[place(0)]
+        now = np.zeros(words)
+        for length, ids in spans[:k]:
+            own = ids[:, n - k if back else k - length]
+            now += np.where(own >= 0, held[len(held) - length] * prob[own], 0)
+        sums[place(k)], scales[place(k)] = now, offset
+        held = np.concatenate([held, now[None]])[-len(spans) :]
+    return sums, scales
+
+
 def expected_counts(index: PieceIndex, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """How often each piece is expected in words seen ``counts`` times, under one column of probabilities."""
     out = np.zeros(len(prob))
-    for rows, chars in _by_length(words):
+    for rows, chars in _by_length(words, 1):
         n, w = chars.shape[1], len(rows)
         spans = list(index.spans(chars))
-        alpha, beta = np.zeros((n + 1, w)), np.zeros((n + 1, w))
-        alpha[0] = beta[n] = 1
-        for end in range(1, n + 1):
-            for length, ids in spans[:end]:
-                own = ids[:, end - length]
-                alpha[end] += np.where(own >= 0, alpha[end - length] * prob[own], 0)
-        for start in range(n - 1, -1, -1):
-            for length, ids in spans[: n - start]:
-                own = ids[:, start]
-                beta[start] += np.where(own >= 0, beta[start + length] * prob[own], 0)
+        (alpha, up), (beta, down) = (_scaled_sums(spans, n, w, prob, back) for back in (False, True))
         share = counts[rows] / alpha[n]
         for length, ids in spans:
             for start in range(n - length + 1):
                 own = ids[:, start]
                 hit = np.flatnonzero(own >= 0)
                 mass = alpha[start, hit] * prob[own[hit]] * beta[start + length, hit] * share[hit]
+                if n > SCALE:
+                    mass = mass * np.exp(up[start, hit] + down[start + length, hit] - up[n, hit])
                 out += np.bincount(own[hit], mass, len(prob))
     return out
 
@@ -139,6 +168,7 @@ def fit(train: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     language and piece, come to the driver. Rows with a null text or language
     are left out. Without any row the model knows no language.
     """
+    small_batches(train.sparkSession)
     path = vocabulary or default_vocabulary()
     size = len(pieces(path)) + 1
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
@@ -162,7 +192,7 @@ def fit(train: DataFrame, vocabulary: str | None = None, text_col: str = "text",
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
                     docs[lang] += 1
-                if sum(map(len, words.values())) > 500_000:
+                if sum(map(len, words.values())) > WORD_STORE:
                     add()
             add()
             for lang, sums in total.items():
@@ -185,8 +215,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     A null text or one without a letter is ``und`` with score 0, as is every text
     if the model knows no language. All of a text counts, however long. Ties go
     to the language that sorts first. The rows keep their other columns, except
-    ones named lang_pred and score, which are replaced.
+    ones named lang_pred and score, which are replaced; null ids and repeated
+    rows are rows like others, and an empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     key = f"{hash(model.prob.tobytes())}"
     shared = docs.sparkSession.sparkContext.broadcast((model.path, model.languages, model.prob, np.log(np.maximum(model.prior, 1e-12))))
@@ -196,15 +228,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, languages, prob, prior = shared.value
         index = _index(path)
+        most = max(1000, min(WORD_STORE, STORE_CELLS // max(1, len(languages))))
         store = worker_store(f"languages-{key}")
         if not store:
-            store.update(rows={}, table=np.zeros((WORD_STORE, len(languages))))
+            store.update(rows={}, table=np.zeros((most, len(languages))))
         rows, table = store["rows"], store["table"]
 
         def sums(lists: list[list[str]]) -> list[np.ndarray]:
             """Log likelihoods of word lists; the words that are new to the worker are scored together."""
             new = set().union(*lists).difference(rows)
-            if len(rows) + len(new) > WORD_STORE:
+            if len(rows) + len(new) > most:
                 rows.clear()
                 new = set().union(*lists)
             if new:
@@ -225,11 +258,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             held = 0
             for row, text in enumerate(batch.column(at)):
                 words = WORD.findall((text.as_py() or "").lower()) if languages else []
-                for k in range(0, len(words), WORD_STORE // 4):
-                    part = words[k : k + WORD_STORE // 4]
+                for k in range(0, len(words), most // 4):
+                    part = words[k : k + most // 4]
                     waiting.append((row, part))
                     held += len(part)
-                    if held > WORD_STORE // 2:
+                    if held > most // 2:
                         settle()
                         held = 0
             settle()
@@ -252,6 +285,10 @@ def identify(docs: DataFrame, vocabulary: str | None = None, fit_rows: int = 10_
 
     The model is fitted on at most about ``fit_rows`` rows with a language, from
     folds of crc32(id) mod 4 other than 2; every row is then scored in whole.
+    Returns (id, text, held_out, lang_pred, score), a row for each input row: a
+    null id counts as the text ``null`` in the fold, a null, empty or letterless
+    text is ``und`` with score 0, repeated rows get equal results, and an empty
+    table gives no row. Input columns of other names are left out.
     """
     train = training_rows(docs, (crc_fold(id_col, 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull(), fit_rows, id_col)
     model = fit(train.select("text", "lang"), vocabulary)
