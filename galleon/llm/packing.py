@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import stored, text_or_empty, worker_store
+from galleon.llm.common import small_batches, stored, text_or_empty, worker_store
 
 #: Words whose ids a worker keeps; the store is emptied when full.
-WORD_STORE = 1_500_000
+WORD_STORE = 400_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -67,9 +67,10 @@ def token_bytes(text: bytes, path: str) -> bytes:
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each document's ids, with ``end_id`` after them, into pieces of ``length`` ids.
 
-    Returns (id, piece, start, length, ids_crc32, text_key); the key parts equal
-    ids with different texts when the pieces are put in order.
+    Returns (id, piece, start, length, ids_crc32). A null or empty text gives one
+    piece with the end id alone; null ids and repeated rows are rows like others.
     """
+    small_batches(docs.sparkSession)
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +127,15 @@ class OpenBins:
         return bin_id
 
 
-def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 4096, pieces_per_task: int = 250_000, id_col: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 1 << 16, pieces_per_task: int = 125_000, id_col: str = "doc_id") -> DataFrame:
     """Add (sequence_id, offset) to pieces, none longer than ``length``.
 
     The pieces are dealt by hash over tasks of about ``pieces_per_task``, each of
-    which packs its own in a fixed pseudo-random order, so a task that runs again
-    gives the same sequences. More pieces make more tasks, never larger ones. A
-    task leaves at most ``open_bins`` unfilled sequences.
+    which packs its own from long to short, ties in a fixed pseudo-random order,
+    so a task that runs again gives the same sequences. More pieces make more
+    tasks, never larger ones. ``open_bins`` has to be near a task's number of long
+    pieces: with fewer, bins close before the short pieces come that would fill
+    them. A task leaves at most ``open_bins`` unfilled sequences.
     """
     spark = pieces.sparkSession
     kept = stored(pieces, "pieces")
@@ -153,10 +156,10 @@ def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 4096, pieces_pe
             )
 
     dealt = kept.withColumn("order", order).repartition(tasks, "order") if tasks > 1 else kept.withColumn("order", order).coalesce(1)
-    return dealt.sortWithinPartitions("order", *names).drop("order").mapInArrow(fill, schema)
+    return dealt.sortWithinPartitions(F.desc("length"), "order", *names).drop("order").mapInArrow(fill, schema)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, open_bins: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, open_bins: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, cut and pack documents; one row per piece.
 
     A null text is empty and gives one piece with the end id alone. Null ids and
