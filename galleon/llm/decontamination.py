@@ -7,8 +7,10 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galleon.llm.common import same, stored, text_or_empty
+from galleon.llm.common import stored, text_or_empty
 
+#: Values of the word filter that goes before the shuffled join: an upper bound of its rows.
+FILTER = 1 << 20
 _PLAIN = set(string.ascii_lowercase + string.digits)
 _FROM = "".join(chr(c) for c in range(128) if chr(c) not in _PLAIN)
 _TO = "".join(c.lower() if c.isalpha() else " " for c in _FROM)
@@ -41,16 +43,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, length: int = 10,
     compared in full with the document's words at that place.
 
     The prefix table is broadcast where its measured size is below
-    ``broadcast_bytes``; beyond that the join is shuffled and the candidates go
-    back to their documents by id.
+    ``broadcast_bytes``; beyond that words that no prefix can equal are filtered
+    out by a table of at most ``FILTER`` hash values, the join is shuffled, and the
+    candidates go back to their rows.
 
     Returns (id, n_words, n_hit, n_items, items_sha256, contaminated). A null or
     empty text has no words and a null or empty item no windows; either table may
-    be empty. Each input row gives a row; rows with the same id share their hits,
-    and a null id counts as one id. An item with a null id is named ``null``.
+    be empty. Each input row gives a row from its own text alone, so repeated ids
+    and null ids are rows like others. An item with a null id is named ``null``.
     Extra columns are ignored.
     """
-    spaced = stored(documents.select(F.col(id_col).alias("id"), spaced_words(text_or_empty(text_col)).alias("spaced")), "words")
+    # The number of a row is written with it, so that it stays the same wherever the table is read.
+    spaced = stored(documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), spaced_words(text_or_empty(text_col)).alias("spaced")), "words")
     windows = stored(item_windows(benchmark, length), "windows")
     wanted = windows.select(F.explode("window").alias("word")).distinct()
     size = windows.agg(F.sum(F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 64)).first()[0] or 0
@@ -74,23 +78,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, length: int = 10,
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
     equal = F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")
-    texts = spaced.select("id", _words(F.col("spaced")).alias("words"))
+    texts = spaced.select("row", _words(F.col("spaced")).alias("words"))
     if small:
-        places = texts.select("id", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
+        places = texts.select("row", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
         found = places.join(F.broadcast(prefixes), "word").where(fits).withColumn("start", start).where(equal)
     else:
-        places = texts.select("id", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
-        near = places.join(prefixes, "word").where(fits).select(F.col("id").alias("near_id"), start.alias("start"), "window", "items")
-        found = texts.join(near, same(F.col("id"), F.col("near_id"))).where(equal)
-    hits = stored(found.select("id", "start", (F.col("start") + F.size("window")).alias("end"), "items").distinct(), "hits")
-
-    ordered = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        value = F.pmod(F.xxhash64("word"), F.lit(FILTER))
+        wanted = prefixes.select(value.alias("value")).distinct()
+        places = texts.select("row", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word")).withColumn("value", value).join(F.broadcast(wanted), "value", "left_semi")
+        near = places.join(prefixes, "word").where(fits).select(F.col("row").alias("near_row"), start.alias("start"), "window", "items")
+        found = texts.join(near, F.col("row") == F.col("near_row")).where(equal)
+    hits = stored(found.select("row", "start", (F.col("start") + F.size("window")).alias("end"), "items").distinct(), "hits")
+
+    ordered = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(ordered), F.lit(0))))
-    covered = hits.select("id", "start", "end").distinct().withColumn("fresh", fresh).groupBy("id").agg(F.sum("fresh").alias("n_hit"))
-    named = hits.select("id", F.explode("items").alias("item")).groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found_in = covered.join(named, same(covered["id"], named["id"])).select(covered["id"].alias("found_id"), "n_hit", "items")
-    rows = spaced.select("id", F.size(_words(F.col("spaced"))).cast("long").alias("n_words"))
-    return rows.join(found_in, same(F.col("id"), F.col("found_id")), "left").select(
+    covered = hits.select("row", "start", "end").distinct().withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    named = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found_in = covered.join(named, "row").select(F.col("row").alias("found_row"), "n_hit", "items")
+    rows = spaced.select("row", "id", F.size(_words(F.col("spaced"))).cast("long").alias("n_words"))
+    return rows.join(found_in, F.col("row") == F.col("found_row"), "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
