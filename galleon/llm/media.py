@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import payload, shared_path, stored
+from galleon.llm.common import payload, shared_path, small_batches, stored
 
 #: Samples in a row of the grey image that holds a payload.
 WIDTH = 576
@@ -80,7 +80,8 @@ def write_shards(rows: DataFrame, root: str, shard_bytes: int = 256 << 20, encod
     digest the manifest keeps the first. A task can leave at most one spare copy
     of a digest, however many rows share it. The manifest has (digest, shard,
     offset, length), with the offset of the member's first byte of content; each
-    member is named by its digest.
+    member is named by its digest. An empty table gives an empty manifest and no
+    shard; other columns are ignored; neither column may be null.
 
     A shard's name carries the attempt that wrote it: a task that runs again
     after a loss writes new files, and the manifest only names complete ones.
@@ -182,6 +183,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bytes. A null text counts as empty; each input row, null id or repeated row
     included, gives one row; an empty table gives none. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     root = shared_path(docs.sparkSession, "media")
     data = payload(text_col)
     n = F.octet_length(data)
@@ -191,5 +193,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias(id_col), n.cast("long").alias("n_bytes"), full.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     manifest = write_shards(rows, root)
-    objects = read_headers(manifest).join(read_features(manifest), "digest")
+    # Written, so that the last join has two fresh shuffles and Spark can split the rows of one digest.
+    objects = stored(read_headers(manifest).join(read_features(manifest), "digest"), "objects")
     return rows.select(id_col, "n_bytes", "digest").join(objects, "digest").drop("bit_depth")
