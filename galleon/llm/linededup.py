@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import same, stored, text_or_empty
+from galleon.llm.common import same, small_batches, stored, text_or_empty, worker_store
 from galleon.llm.windows import mixed, prefix_hashes, span_hashes
 
 #: Each further round of a run that is not aligned yet takes so many times the holders of the round before.
@@ -108,6 +108,7 @@ def runs_of(own: DataFrame, least: int) -> DataFrame:
     """(id, run, low, high): the minimal runs of each document's lines, with a hash of their lines."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("lines")  # lets go of what an earlier stage has left in the worker
         for batch in batches:
             h, size = batch.column(1), batch.column(2)
             starts = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -190,6 +191,7 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float | None = None
     with a null id are returned as they are; rows that repeat an id are aligned
     with earlier ids, not with each other. An empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     split = F.split(text_or_empty(text_col), "\n")
     lines = docs.select(F.col(id_col).alias("id"), split.alias("x")).select(
@@ -200,9 +202,12 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float | None = None
     lines = stored(lines, "lines")
     own = stored(lines.where(F.col("id").isNotNull()).dropDuplicates(["id"]), "own")
     found = repeated_in_earlier(own, least) if rare_share is None else aligned(stored(overlapping(lines, least, rare_share), "pairs"), own, least)
-    drops = stored(found.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops")
+    # Names that no input column has.
+    taken = {n.lower() for n in names}
+    key, gone = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in taken) for base in ("dropped_id", "drop"))
+    drops = stored(found.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops").toDF(key, gone)
     # One plan for all sizes: a short list of drops could be broadcast, a long one could not.
-    joined = docs.select(*names).join(drops.hint("merge"), same(docs[id_col], drops["dropped_id"]), "left").drop("dropped_id")
+    joined = docs.select(*names).join(drops.hint("merge"), same(docs[id_col], drops[key]), "left")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
     at = names.index(text_col)
 
@@ -217,4 +222,4 @@ def line_dedup(docs: DataFrame, least: int = 60, rare_share: float | None = None
             cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return joined.select(*names, "drop").mapInArrow(cut, schema)
+    return joined.select(*names, gone).mapInArrow(cut, schema)
