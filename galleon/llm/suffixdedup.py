@@ -11,8 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import payload, same, stored
-from galleon.llm.suffixes import Scratch, common_prefixes, suffix_array
+from galleon.llm.common import payload, same, small_batches, stored
+from galleon.llm.suffixes import Scratch, suffix_array
 from galleon.llm.windows import CHUNK, first_equal, mixed, prefix_hashes, ragged, span_hashes, window_runs
 
 #: Bytes of the string whose smallest hash routes a window.
@@ -88,9 +88,9 @@ def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray,
 
     Runs with equal bytes are settled first: all but the earliest go. Of the rest
     only runs that share a key with another one, or hold their minimizer twice,
-    can have equal windows. The stretches of those whose windows have a hash that
-    occurs twice are written one after another, and their suffixes are sorted;
-    windows whose common prefix with their neighbour reaches ``length`` are equal.
+    can have equal windows. All bytes of those are written one run after another
+    and their suffixes are sorted; windows whose common prefix with their
+    neighbour, as the sort carries it, reaches ``length`` are equal.
     """
     offset = np.cumsum(runs.size) - runs.size
     first = first_equal(_hashes(runs.data, offset, runs.size), runs.size, offset, runs.doc, runs.start, runs.data)
@@ -99,40 +99,26 @@ def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray,
     keys, inverse, often = np.unique(runs.key[left], return_inverse=True, return_counts=True)
     left = left[(often[inverse] > 1) | ~runs.single[left]]
     if len(left):
-        windows = runs.size[left] - length + 1
-        place = ragged(offset[left], windows)
-        hashes = _hashes(runs.data, place, np.full(len(place), length))
-        order = np.argsort(hashes)
-        twice = np.zeros(len(hashes), bool)
-        equal = hashes[order[1:]] == hashes[order[:-1]]
-        twice[order[1:][equal]] = twice[order[:-1][equal]] = True
-        owner = np.repeat(np.arange(len(left)), windows)
-        # Stretches of such windows within one run.
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
-        inner = np.flatnonzero((owner[1:] != owner[:-1]) & twice[1:] & twice[:-1]) + 1
-        begin, end = np.sort(np.append(edge[::2], inner)), np.sort(np.append(edge[1::2], inner))
-        if len(begin):
-            size = end - begin + length - 1
-            at = place[begin]
-            text = np.zeros(int(size.sum()) + len(size), np.int16)
-            shift = np.arange(len(size)) + np.cumsum(size) - size  # a zero follows each stretch
-            text[ragged(shift, size)] = runs.data[ragged(at, size)].astype(np.int16) + 1
-            stretch = np.searchsorted(shift, np.arange(len(text)), "right") - 1
-            inside = np.arange(len(text)) - shift[stretch]
-            with Scratch(budget) as scratch:
-                found = suffix_array(text, scratch, length)
-            found = found[inside[found] <= size[stretch[found]] - length]
-            # Bytes of UTF-8 end at 244, so the symbols fit one byte.
-            prefix = common_prefixes(text.astype(np.uint8), found, length)
-            group = np.cumsum(np.append([0], prefix[1:] < length)) if len(found) else found
-            run = left[owner[begin]][stretch[found]]
-            doc = runs.doc[run]
-            start = runs.start[run] + at[stretch[found]] + inside[found] - offset[run]
-            order = np.lexsort((start, doc, group))
-            head = order[np.searchsorted(group[order], group[order])]
-            earliest = np.empty(len(order), np.int64)
-            earliest[order] = head
-            spans.append(_removals(doc, start, np.full(len(doc), length), earliest))
+        size = runs.size[left]
+        text = np.zeros(int(size.sum()) + len(size), np.int16)
+        shift = np.arange(len(size)) + np.cumsum(size) - size  # a zero follows each run
+        text[ragged(shift, size)] = runs.data[ragged(offset[left], size)].astype(np.int16) + 1
+        with Scratch(budget) as scratch:
+            found, prefix = suffix_array(text, scratch, length)
+        owner = np.repeat(np.arange(len(size)), size + 1)
+        # Suffixes that start no window fall away; what is left agrees as far as all between them did.
+        kept = np.flatnonzero(found <= (shift + size - length)[owner[found]])
+        found, prefix = found[kept], np.minimum.reduceat(prefix[: kept[-1] + 1], np.append(0, kept[:-1] + 1))
+        equal = prefix[1:] >= length
+        group = np.cumsum(np.append(0, ~equal))
+        several = np.append(False, equal) | np.append(equal, False)
+        found, group = found[several], group[several]
+        run = left[owner[found]]
+        doc, start = runs.doc[run], runs.start[run] + found - shift[owner[found]]
+        order = np.lexsort((start, doc, group))
+        earliest = np.empty(len(order), np.int64)
+        earliest[order] = order[np.searchsorted(group[order], group[order])]
+        spans.append(_removals(doc, start, np.full(len(doc), length), earliest))
     return _merged(*(np.concatenate(c) for c in zip(*spans, strict=True)))
 
 
@@ -237,7 +223,7 @@ def _routed(docs: DataFrame, length: int, shards: int, split: np.ndarray = np.ze
     return docs.mapInArrow(route, "shard int, runs binary, doc long, low long, high long")
 
 
-def repeated_spans(docs: DataFrame, length: int, shard_bytes: int = 32 << 20, budget: int = 256 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, shard_bytes: int = 16 << 20, budget: int = 96 << 20) -> DataFrame:
     """Spans (doc, low, high) of (doc, bytes) covered by ``length``-byte strings that also start earlier.
 
     Each window goes, with its run, to the shard of its minimizer; there are as
@@ -284,9 +270,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     A null text is empty. A row with a null id is neither searched nor cut. Rows
     that repeat an id and its text are one document and all return its result.
-    Texts below ``length`` bytes stay whole; texts of any length are taken in
+    Of rows that repeat an id with different texts, the windows of all count as
+    that document's, and each row is cut at the places found in any of them. Texts
+    below ``length`` bytes stay whole; texts of any length are taken in
     pieces. An empty table gives no row. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), payload(text_col).alias("bytes"))
     found = repeated_spans(rows.where(F.col("id").isNotNull()).select(F.col("id").alias("doc"), "bytes"), length)
     found = stored(found, "spans").groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))

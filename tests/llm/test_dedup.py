@@ -13,8 +13,8 @@ from galleon.llm.linededup import line_dedup, patience_blocks, repeated_lines
 from galleon.llm.minhash import MinHash, links_within, near_duplicates, shingles
 from galleon.llm import suffixdedup
 from galleon.llm.suffixdedup import remove_repeats
-from galleon.llm.suffixes import Scratch, common_prefixes, suffix_array
-from galleon.llm.windows import window_runs
+from galleon.llm.suffixes import Scratch, suffix_array
+from galleon.llm.windows import ragged, window_runs
 
 SCHEMA = "doc_id long, text string, key string, component_id long, node long, n_lines long, doc long, spans string"
 
@@ -23,21 +23,45 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", 0, 0, 0, 0, "s") for i, t in rows], SCHEMA)
 
 
-@given(st.lists(st.integers(0, 4), max_size=150), st.booleans())
-@settings(max_examples=80, deadline=None)
-def test_suffix_array_and_prefixes(text, small):
-    base, suffixes.BASE = suffixes.BASE, 4
+def common(a, b, most):
+    return min(most, next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+
+
+@given(st.lists(st.integers(0, 4), max_size=150), st.booleans(), st.sampled_from([None, 1, 2, 3, 7, 20]), st.sampled_from([4, 1 << 20]))
+@settings(max_examples=150, deadline=None)
+def test_suffix_array_carries_common_prefixes(text, small, need, base):
+    before, suffixes.BASE = suffixes.BASE, base
     try:
         with Scratch(500 if small else 1 << 24) as scratch:
-            order = suffix_array(np.array(text, np.int64), scratch)
+            order, prefix = suffix_array(np.array(text, np.int64), scratch, need)
     finally:
-        suffixes.BASE = base
-    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    prefix = common_prefixes(np.array(text, np.uint8) + 1, order, 16)
+        suffixes.BASE = before
+    assert sorted(order.tolist()) == list(range(len(text)))
+    deep = need or len(text)
+    if need is None:
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
     for k in range(1, len(order)):
         a, b = text[order[k - 1] :], text[order[k] :]
-        n = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert prefix[k] == min(n, 16)
+        assert a[:deep] <= b[:deep] and prefix[k] == common(a, b, deep)
+
+
+def test_a_shard_beyond_its_budget_is_sorted_with_spilled_queues():
+    rng = random.Random(29)
+    passage = [rng.randrange(1, 200) for _ in range(3000)]
+    text = np.array([x for _ in range(40) for x in [*passage[rng.randrange(2500) :], *(rng.randrange(1, 200) for _ in range(700)), 0]], np.int16)
+    before, suffixes.BASE = suffixes.BASE, 1 << 10
+    suffixes.done.clear()
+    try:
+        with Scratch(64 << 10) as scratch:
+            order, prefix = suffix_array(text, scratch, 100)
+            assert scratch.used <= 64 << 10 and scratch.made > 10
+    finally:
+        suffixes.BASE = before
+    assert suffixes.done["inductions"] >= 8 and suffixes.done["spilled"] > len(text) * 24
+    data = text.astype(np.uint8).tobytes()
+    for k in range(1, len(order), 7):
+        a, b = data[order[k - 1] : order[k - 1] + 100], data[order[k] : order[k] + 100]
+        assert a <= b and prefix[k] == common(a, b, 100)
 
 
 def test_equal_windows_have_equal_keys():
@@ -91,6 +115,24 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     assert remove_repeats(docs.limit(0), 100).count() == 0
 
 
+def test_induction_sorts_the_registered_table():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    parts = []
+    for doc, text in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        if len(data) >= 100:
+            first, last, key, single = window_runs(data, 100, suffixdedup.GRAM)
+            size = last - first + 100
+            parts.append(suffixdedup.Runs(np.full(len(first), doc), first, size, key, single, data[ragged(first, size)]))
+    suffixes.done.clear()
+    doc, low, high = suffixdedup.repeated_in_shard(suffixdedup.Runs.join(parts), 100, 1 << 20)
+    assert suffixes.done["inductions"] >= 4 and suffixes.done["spilled"] > 0
+    want = removed(list(zip(*(c.to_pylist() for c in table.columns), strict=True)), 100)
+    assert {i: int((high - low)[doc == i].sum()) for i in want} == {i: w[1] for i, w in want.items()}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, i) for i in range(501, 560)]
