@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.functions.vectors import cosine
-from galleon.operators.search import ranked
+from galleon.operators.search import best, ranked, scores
 
 
 def _sample(rows: DataFrame, bound: int) -> DataFrame:
@@ -23,52 +26,120 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-def _scored(candidates: DataFrame, k: int) -> DataFrame:
-    """Exact cosine of candidate rows (query_id, q, item_id, g), ranked."""
-    own = candidates.where("query_id <> item_id").select("query_id", "item_id", F.round(cosine(F.col("q"), F.col("g")), 6).alias("score"))
-    return ranked(own.where(F.col("score").isNotNull()), k, True)
+def _directions(centers: np.ndarray) -> np.ndarray:
+    return centers / np.maximum(np.linalg.norm(centers, axis=1), 1e-12)[:, None]
 
 
-def ivf_topk(queries: DataFrame, gallery: DataFrame, k: int, cells: int = 32, probes: int = 20, fit_rows: int = 20_000) -> DataFrame:
-    """Rows in the ``probes`` cells nearest to each query, re-ranked exactly.
+def _in_cells(queries: DataFrame, gallery: DataFrame, k: int, block: int) -> DataFrame:
+    """The best k by cosine among the rows that share a cell with a query: exact scores of block pairs in one cell.
 
-    The cell centres come from k-means on about ``fit_rows`` rows; every row is in
-    the index. Queries meet rows by an equi-join on the cell.
+    ``queries`` has (vec_id, embedding, cell) and ``gallery`` the same. A cell's rows
+    are parted by hash into blocks of about ``block``, and its queries meet each of
+    them, so that a cell with very many rows is many short tasks.
     """
-    rows = _features(gallery)
-    model = KMeans(k=cells, seed=1, maxIter=10).fit(_sample(rows, fit_rows))
-    centers = np.array(model.clusterCenters())
-    indexed = model.transform(rows).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("g"), F.col("prediction").alias("cell"))
+    parts = gallery.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = gallery.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    items = own.groupBy("cell", "part").agg(F.collect_list("vec_id").alias("g_ids"), F.collect_list("embedding").alias("g"))
+    some = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64))
+    asked = queries.groupBy("cell", some.alias("some")).agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("embedding").alias("q"))
+    met = asked.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(items, ["cell", "part"]).select("q_ids", "q", "g_ids", "g")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, item_ids = (np.array(batch.column(c)[row].values) for c in (0, 2))
+                vectors, items = (np.array(batch.column(c)[row].values.flatten(), np.float64).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(item_ids))))
+                s = scores(vectors, items, "cosine")
+                s[ids[:, None] == item_ids[None, :]] = np.nan
+                for at, places in best(s, item_ids, k, True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), ids[at])), pa.array(item_ids[places]), pa.array(s[at, places])], ["query_id", "item_id", "score"])
+
+    return ranked(met.mapInArrow(score, "query_id long, item_id long, score double").distinct(), k, True)
+
+
+def _near_cells(rows: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    """(vec_id, embedding, cell): each row in the ``probes`` cells whose centres it has the largest cosine with."""
+    directions = _directions(centers)
 
     @F.pandas_udf("array<int>")
     def nearest(vectors):
         import pandas as pd
 
         x = np.array(vectors.tolist(), np.float64)
-        d = ((x[:, None, :] - centers[None]) ** 2).sum(2)
-        return pd.Series(list(np.argsort(d, 1)[:, :probes].astype(np.int32)))
+        return pd.Series(list(np.argsort(-(x @ directions.T), 1, kind="stable")[:, :probes].astype(np.int32)))
 
-    asked = queries.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(nearest("embedding")).alias("cell"))
-    return _scored(asked.join(indexed, "cell"), k)
+    return rows.select("vec_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
 
 
-def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, bucket: float = 0.5, tables: int = 4) -> DataFrame:
-    """Rows that share a bucket of random projections with a query, re-ranked exactly."""
-    rows = _features(gallery)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=3).fit(rows)
+def ivf_topk(queries: DataFrame, gallery: DataFrame, k: int, cells: int | None = None, share: float = 0.6, fit_rows: int = 20_000, block: int = 4096) -> DataFrame:
+    """Rows in the cells nearest to each query, re-ranked exactly: (query_id, item_id, score, rank).
+
+    There are about as many ``cells`` as the square root of the rows, unless said
+    otherwise. Their centres come from k-means on about ``fit_rows`` rows; every
+    row is in the index. A query looks at ``share`` of the cells: vectors without
+    structure need that many for a recall of 0.9, clustered ones far fewer. Rows
+    without a vector are left out, and an empty table gives no row.
+    """
+    rows, asked = _features(gallery), _features(queries)
+    n = rows.count()
+    if not n:
+        return _in_cells(asked.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0)), k, block)
+    cells = cells or max(1, min(4096, round(n**0.5)))
+    model = KMeans(k=cells, seed=1, maxIter=10).setDistanceMeasure("cosine").fit(_sample(rows.where(F.size(F.filter("embedding", lambda x: x != 0)) > 0), fit_rows))
+    centers = np.array(model.clusterCenters())
+    return _in_cells(_near_cells(asked, centers, max(1, round(share * len(centers)))), _near_cells(rows, centers, 1), k, block)
+
+
+def sign_buckets(rows: DataFrame, planes: np.ndarray, flips: int) -> DataFrame:
+    """(vec_id, embedding, cell): a bucket for each table of ``planes``, and those that differ in up to ``flips`` signs."""
+    tables, bits = planes.shape[:2]
+    near = np.array([sum(1 << b for b in c) for m in range(flips + 1) for c in combinations(range(bits), m)])
 
-    def buckets(df: DataFrame, name: str, vector: str) -> DataFrame:
-        hashed = model.transform(df).select(F.col("vec_id").alias(name), F.col("embedding").alias(vector), F.posexplode("hashes").alias("table", "h"))
-        return hashed.select(name, vector, "table", vector_to_array("h")[0].alias("bucket"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                code = np.stack([((x @ p.T > 0) << np.arange(bits)).sum(1) for p in planes], 1)
+                cell = ((code[:, :, None] ^ near) | (np.arange(tables)[None, :, None] << 32)).reshape(batch.num_rows, -1)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.ravel())], ["vec_id", "embedding", "cell"])
 
-    met = buckets(_features(queries), "query_id", "q").select("query_id", "table", "bucket").join(buckets(rows, "item_id", "g").select("item_id", "table", "bucket"), ["table", "bucket"])
-    pairs = met.select("query_id", "item_id").distinct()
-    whole = pairs.join(gallery.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("g")), "item_id")
-    return _scored(whole.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"), k)
+    return rows.select("vec_id", "embedding").mapInArrow(place, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, cell long")
+
+
+def sign_planes(gallery: DataFrame, tables: int, bits: int | None, seed: int = 3) -> np.ndarray:
+    """Random directions (tables, bits, places); bits grow with the gallery, for about 64 rows a bucket, unless given."""
+    first = gallery.select(F.size("embedding").alias("n")).first()
+    bits = bits or max(2, min(24, int(np.log2(gallery.count() / 64 + 1)) + 1))
+    return np.random.default_rng(seed).normal(size=(tables, bits, first.n if first else 1))
+
+
+def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, tables: int = 4, bits: int | None = None, flips: int = 2, block: int = 4096) -> DataFrame:
+    """Rows that share a bucket of signs of random projections with a query in one of ``tables`` tables, re-ranked exactly.
+
+    Buckets grow in number with the gallery, unless ``bits`` sets the projections of
+    a table. A query also looks into buckets that differ in up to ``flips`` signs (a
+    third of the bits at most). Rows without a vector are left out; an empty table
+    gives no row.
+    """
+    rows, asked = _features(gallery), _features(queries)
+    if rows.isEmpty():
+        return _in_cells(asked.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0)), k, block)
+    planes = sign_planes(rows, tables, bits)
+    return _in_cells(sign_buckets(asked, planes, min(flips, planes.shape[1] // 3)), sign_buckets(rows, planes, 0), k, block)
 
 
 def pca_reduce(gallery: DataFrame, parts: int = 16, fit_rows: int = 20_000) -> DataFrame:
-    """Vectors projected on their first ``parts`` principal directions: (vec_id, embedding)."""
+    """Vectors projected on their first ``parts`` principal directions: (vec_id, embedding).
+
+    The sign of a direction is such that its largest place is positive. Rows
+    without a vector are left out; an empty table gives no row.
+    """
     rows = _features(gallery)
+    if rows.isEmpty():
+        return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     model = PCA(k=parts, inputCol="features", outputCol="reduced").fit(_sample(rows, fit_rows))
-    return model.transform(rows).select("vec_id", vector_to_array("reduced").alias("embedding"))
+    directions = model.pc.toArray()
+    signs = np.sign(directions[np.abs(directions).argmax(0), np.arange(directions.shape[1])])
+    signed = F.transform(vector_to_array("reduced"), lambda x, i: x * F.array(*[F.lit(float(v)) for v in signs])[i])
+    return model.transform(rows).select("vec_id", signed.alias("embedding"))

@@ -1,10 +1,12 @@
 """Exact search: a set of query vectors against a whole gallery, in blocks.
 
-Vectors are packed by hash into blocks of a bounded number of rows. Each block of
-the gallery meets each block of queries by an equi-join on the block's number,
-and a task scores a pair of blocks with matrix arithmetic and keeps what the
-operator asks for. No vector passes through the driver, and no row of a pair of
-vectors is made unless it is kept.
+Vectors are packed by hash into blocks of a bounded number of rows. A task scores
+a pair of blocks with matrix arithmetic and keeps what the operator asks for. A
+single block of queries is broadcast; several meet the gallery by an equi-join on
+(query block, stripe of gallery blocks), so that a key has one block of queries
+and a bounded number of gallery blocks, whatever the size of either table. No
+vector passes through the driver, and no row of a pair of vectors is made unless
+it is kept.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block, on average.
 BLOCK = 2048
+#: Gallery blocks in a stripe.
+STRIPE = 8
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -56,19 +60,26 @@ def packed(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, i
     return rows.select(number, *columns).groupBy(name).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in columns]), blocks
 
 
-def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: str, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None) -> DataFrame:
+def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: str, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None, halves: bool = False) -> DataFrame:
     """Apply ``keep(query ids, query vectors, item ids, item vectors, extra)`` to every pair of blocks.
 
-    ``keep`` yields tuples of arrays, the columns of ``schema``. Rows with a null
-    id or vector are left out.
+    ``keep`` yields tuples of arrays, the columns of ``schema``. With ``halves``,
+    where both tables are one, each two blocks meet once. Rows with a null id or
+    vector are left out; rows that repeat an id are rows of their own.
     """
 
     def whole(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.select(*columns).dropna()
 
     own, n = packed(whole(queries, [id_col, vector_col]), "q", [id_col, vector_col])
-    items, _ = packed(whole(gallery, [id_col, vector_col, *([extra] if extra else [])]), "g", [id_col, vector_col, *([extra] if extra else [])])
-    pairs = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(own, "q")
+    items, m = packed(whole(gallery, [id_col, vector_col, *([extra] if extra else [])]), "g", [id_col, vector_col, *([extra] if extra else [])])
+    items = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") if halves else F.lit(n - 1))))
+    if n == 1:
+        pairs = items.join(F.broadcast(own), "q")  # about BLOCK rows, whatever the tables' sizes
+    else:
+        stripes = F.sequence(F.lit(0), F.lit((m - 1) // STRIPE))
+        meets = items.withColumn("stripe", F.floor(F.col("g") / STRIPE).cast("int"))
+        pairs = meets.join(own.withColumn("stripe", F.explode(stripes)).hint("merge"), ["q", "stripe"])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def flat(column: pa.Array, row: int) -> np.ndarray:
@@ -87,7 +98,7 @@ def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: st
     return pairs.select(*columns).mapInArrow(score, schema)
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int, larger: bool) -> Iterator[tuple[int, np.ndarray]]:
+def best(s: np.ndarray, ids: np.ndarray, k: int, larger: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of scores, the places of the best k: by score, then by smaller id. NaN never counts."""
     key = np.where(np.isnan(s), np.inf, -s if larger else s)
     for row, own in enumerate(key):
@@ -120,7 +131,7 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine",
         s = scores(vectors, items, metric)
         if not include_self:
             s[ids[:, None] == item_ids[None, :]] = np.nan
-        found = [(np.full(len(p), ids[row]), item_ids[p], s[row, p]) for row, p in _best(s, item_ids, k, larger)]
+        found = [(np.full(len(p), ids[row]), item_ids[p], s[row, p]) for row, p in best(s, item_ids, k, larger)]
         if found:
             yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
@@ -128,7 +139,11 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine",
 
 
 def range_search(queries: DataFrame, gallery: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """All gallery rows with a cosine of at least ``least`` to a query: (query_id, item_id, score)."""
+    """All gallery rows with a cosine of at least ``least`` to a query: (query_id, item_id, score).
+
+    A row never finds its own id. Null ids or vectors and vectors of length zero find
+    and are found by nothing; an empty table gives no row.
+    """
 
     def keep(ids, vectors, item_ids, items, _):
         s = scores(vectors, items, "cosine")
@@ -145,14 +160,18 @@ def filtered_topk(queries: DataFrame, gallery: DataFrame, predicate, k: int, met
 
 
 def topk_per_label(queries: DataFrame, gallery: DataFrame, k: int, label_col: str = "label") -> DataFrame:
-    """The best k by cosine of each query within each label: (query_id, label, item_id, score, rank)."""
+    """The best k by cosine of each query within each label: (query_id, label, item_id, score, rank).
+
+    Ties go to the smaller item. Null labels, ids or vectors and vectors of length
+    zero are left out; a label with fewer rows gives all of them.
+    """
 
     def keep(ids, vectors, item_ids, items, labels):
         s = scores(vectors, items, "cosine")
         s[ids[:, None] == item_ids[None, :]] = np.nan
         for label in np.unique(labels):
             own = np.flatnonzero(labels == label)
-            found = [(np.full(len(p), ids[row]), np.full(len(p), label), item_ids[own[p]], s[row, own[p]]) for row, p in _best(s[:, own], item_ids[own], k, True)]
+            found = [(np.full(len(p), ids[row]), np.full(len(p), label), item_ids[own[p]], s[row, own[p]]) for row, p in best(s[:, own], item_ids[own], k, True)]
             yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     found = in_blocks(queries, gallery.where(F.col(label_col).isNotNull()), keep, "query_id long, label int, item_id long, score double", extra=label_col)
@@ -160,21 +179,27 @@ def topk_per_label(queries: DataFrame, gallery: DataFrame, k: int, label_col: st
 
 
 def top_pairs(gallery: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The n closest pairs by cosine: (a_id, b_id, score) with a_id < b_id; ties go to smaller ids."""
+    """The n closest pairs by cosine: (a_id, b_id, score) with a_id < b_id; ties go to smaller ids.
+
+    Rows that share an id make no pair with each other. Null ids or vectors and
+    vectors of length zero are in no pair; fewer than two rows give none.
+    """
 
     def keep(ids, vectors, item_ids, items, _):
         s = scores(vectors, items, "cosine")
-        s[ids[:, None] >= item_ids[None, :]] = np.nan
+        if np.isin(ids[:1], item_ids).any():  # a block with itself: equal ids share a block
+            s[ids[:, None] >= item_ids[None, :]] = np.nan
         flat = np.where(np.isnan(s), -np.inf, s).ravel()
         limit = np.partition(flat, max(0, len(flat) - n))[max(0, len(flat) - n)]
         row, col = np.divmod(np.flatnonzero((flat >= limit) & (flat > -np.inf)), len(item_ids))
-        order = np.lexsort((item_ids[col], ids[row], -s[row, col]))[:n]
-        yield ids[row[order]], item_ids[col[order]], s[row[order], col[order]]
+        a, b = np.minimum(ids[row], item_ids[col]), np.maximum(ids[row], item_ids[col])
+        order = np.lexsort((b, a, -s[row, col]))[:n]
+        yield a[order], b[order], s[row[order], col[order]]
 
-    found = in_blocks(gallery, gallery, keep, "a_id long, b_id long, score double", id_col, vector_col)
+    found = in_blocks(gallery, gallery, keep, "a_id long, b_id long, score double", id_col, vector_col, halves=True)
     return found.orderBy(F.col("score").desc(), "a_id", "b_id").limit(n)
 
 
 def exact_dups(gallery: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Vectors that occur more than once: (first_id, copies)."""
-    return gallery.groupBy(vector_col).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")
+    """Vectors that occur more than once: (first_id, copies). Rows without a vector are left out; an empty table gives no row."""
+    return gallery.where(F.col(vector_col).isNotNull()).groupBy(vector_col).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")

@@ -154,7 +154,8 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approximate.pca_reduce(gallery(spark, sf_dir)).select("vec_id", F.size("embedding").alias("places"))
+    """The reduced vectors, to four decimals."""
+    return approximate.pca_reduce(gallery(spark, sf_dir)).select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -259,5 +260,4 @@ def oracle_sql() -> dict[str, str]:
         "c AS (SELECT vec_id, sum(CASE WHEN b > mean THEN CAST(1 AS HUGEINT) << CAST(pos AS HUGEINT) ELSE 0 END) AS code, count(CASE WHEN b > mean THEN 1 END) AS ones FROM s JOIN m USING (vec_id) GROUP BY vec_id) "
         "SELECT vec_id, CAST(CASE WHEN code >= CAST(9223372036854775808 AS HUGEINT) THEN code - CAST(18446744073709551616 AS HUGEINT) ELSE code END AS BIGINT) AS code, ones FROM c"
     )
-    sql["pca_reduce"] = "SELECT vec_id, 16 AS places FROM embeddings"
     return sql
