@@ -288,6 +288,12 @@ def test_blocks_of_short_or_repeated_lines_go(spark):
     assert removed_lines(spark, [(1, again), (2, again), (3, again + "\nend")]) == {1: 0, 2: 5, 3: 5}
 
 
+def test_line_dedup_keeps_columns_with_the_names_of_its_helpers(spark):
+    rows = [(1, "x" * 70, "a", "b", 1), (2, "x" * 70, "c", "d", 2)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, drop string, DROPPED_ID string, n_lines int")).orderBy("doc_id")
+    assert [tuple(r) for r in out.collect()] == [(1, "x" * 70, "a", "b", 1, 0), (2, "", "c", "d", 1, 1)]
+
+
 def test_line_dedup_aligns_with_all_earlier_documents(spark):
     rng = random.Random(17)
     pool = [f"l{i} " + "w" * rng.randrange(1, 80) for i in range(25)] + ["", " "]

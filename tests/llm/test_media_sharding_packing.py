@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from galleon.llm.media import from_png, media_columns, png_header, read_features, read_headers, to_png, write_shards
-from galleon.llm.packing import OpenBins, _tokenizer, best_fit_packing, default_tokenizer, token_bytes
+from galleon.llm.packing import OpenBins, _tokenizer, best_fit_packing, default_tokenizer, pack, token_bytes
 from galleon.llm.sharding import balanced_bins, best_fit_decreasing, shard_by_bytes
 
 SCHEMA = "doc_id long, text string, lang string, shard int, digest string, n_bytes long"
@@ -99,6 +99,15 @@ def test_sharding_keeps_groups_and_numbers_rows(spark, docs):
     assert shard_by_bytes(more.limit(0), 4).count() == 0
 
 
+def test_shards_are_near_equal(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', CAST(20 + pmod(hash(id), 900) AS INT)) || id AS text")
+    loads = Counter()
+    for r in shard_by_bytes(docs, 40).collect():
+        loads[r.shard] += r.size
+    mean = sum(loads.values()) / 40
+    assert len(loads) == 40 and max(loads.values()) < 1.01 * mean and min(loads.values()) > 0.99 * mean
+
+
 def test_token_ids_equal_the_tokenizer():
     tok = _tokenizer(default_tokenizer())
     for t in ["It's THE end., ok!", "a<|endoftext|>b", "É. x,. ,., 12.5 ΑΣ. İ", "", "日本語 текст\tтаб\x1cz\x85q", "don't.,can't,.'s"]:
@@ -123,6 +132,17 @@ def test_best_fit_and_the_fullest_closes_first():
     assert bins.put(7)[0] == 3 and bins.put(1)[0] == 3  # bin 2 was the fullest and closed
 
 
+def test_few_sequences_are_made(spark):
+    rng = np.random.default_rng(8)
+    sizes = np.minimum(2048, np.exp(rng.normal(6.5, 0.9, 20_000))).astype(int) + 1
+    sizes = np.minimum(sizes, 2048)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, length long")
+    for per_task in (125_000, 6000):
+        made = pack(rows, pieces_per_task=per_task).select("sequence_id").distinct().count()
+        bound = -(-int(sizes.sum()) // 2048)
+        assert bound <= made <= bound * 1.002 + 4
+
+
 def test_packing_covers_every_document(docs):
     tok = _tokenizer(default_tokenizer())
     rows = best_fit_packing(docs, length=256).collect()

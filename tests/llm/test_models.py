@@ -31,6 +31,41 @@ def test_forward_sums_all_segmentations():
     assert counts.sum() > 3 and counts.min() >= 0
 
 
+def test_long_words_are_summed_as_a_whole():
+    """Against sums in logarithms, position by position."""
+    index = langid.PieceIndex(default_vocabulary())
+    known = {p: i for i, p in enumerate(pieces(default_vocabulary())) if p}
+    prob = np.random.default_rng(0).random((index.size + 1, 2)) / 10_000
+
+    def sums(text, lang, back):
+        out = {len(text) if back else 0: 0.0}
+        for at in range(len(text) - 1, -1, -1) if back else range(1, len(text) + 1):
+            spans = [(at, e) for e in range(at + 1, min(len(text), at + index.longest) + 1)] if back else [(b, at) for b in range(max(0, at - index.longest), at)]
+            parts = [out[e if back else b] + np.log(prob[i, lang]) for b, e in spans if (i := known.get(text[b:e], index.size if e - b == 1 else None)) is not None]
+            out[at] = np.logaddexp.reduce(parts)
+        return out
+
+    words = ["the" * 334, "x" * 17, "жq" * 40]
+    got = langid.forward(index, words, prob)
+    for w, row in zip(words, got, strict=True):
+        text = WORD_START + w
+        assert np.allclose(row, [sums(text, k, False)[len(text)] for k in (0, 1)])
+        up, down = sums(text, 0, False), sums(text, 0, True)
+        want = np.zeros(len(prob))
+        for b in range(len(text)):
+            for e in range(b + 1, min(len(text), b + index.longest) + 1):
+                i = known.get(text[b:e], index.size if e - b == 1 else None)
+                if i is not None:
+                    want[i] += 3 * np.exp(up[b] + np.log(prob[i, 0]) + down[e] - up[len(text)])
+        assert np.allclose(langid.expected_counts(index, [w], np.array([3.0]), prob[:, 0]), want)
+
+
+def test_held_out_accuracy_on_the_registered_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs.select("doc_id", "text", "lang")).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND text IS NOT NULL").collect()
+    assert len(found) > 200 and np.mean([r.lang_pred == r.lang for r in found]) >= 0.98
+
+
 def fold(i, n):
     return zlib.crc32(str(i).encode()) % n
 
@@ -38,7 +73,7 @@ def fold(i, n):
 def test_language_id(spark):
     en, de = "the cat and the dog with that house of", "der hund und die katze mit dem haus von"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en if i % 2 else de).split())), "en" if i % 2 else "de", "x", 0.5) for i in range(60)]
-    rows += [(100, None, "en", "x", 0.0), (101, "", None, "x", 0.0), (102, "123 ... !!", None, "x", 0.0), (103, "the " * 30_000, None, "x", 0.0), (None, "the dog and the cat", None, "x", 0.0), rows[1]]
+    rows += [(100, None, "en", "x", 0.0), (101, "", None, "x", 0.0), (102, "123 ... !!", None, "x", 0.0), (103, "the " * 30_000, None, "x", 0.0), (104, "²", None, "x", 0.0), (105, "½ ① ³ Ⅷ", None, "x", 0.0), (106, "dog" * 400, None, "x", 0.0), (None, "the dog and the cat", None, "x", 0.0), rows[1]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
     found = langid.identify(docs).collect()
     assert len(found) == len(rows)
@@ -47,7 +82,8 @@ def test_language_id(spark):
             assert r.lang_pred == ("en" if r.doc_id % 2 else "de") and 0.5 < r.score <= 1
             assert r.held_out == (fold(r.doc_id, 4) == 2)
     by = {r.doc_id: r for r in found}
-    assert [by[i].lang_pred for i in (100, 101, 102, 103, None)] == ["und", "und", "und", "en", "en"]
+    assert [by[i].lang_pred for i in (100, 101, 102, 103, 104, 105, None)] == ["und", "und", "und", "en", "und", "und", "en"]
+    assert by[106].lang_pred in ("en", "de") and [by[i].score for i in (100, 104, 105)] == [0, 0, 0]
     none = langid.identify(docs.limit(0))
     assert none.count() == 0
     assert {r.lang_pred for r in langid.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
@@ -152,5 +188,8 @@ def test_decontamination_against_brute_force(spark, broadcast_bytes):
             assert r.items_sha256 == hashlib.sha256(by[r.doc_id].encode()).hexdigest() and r.n_items == len([x for x in by[r.doc_id].split(",") if x]) and r.contaminated == (r.n_hit > 0)
         else:
             assert (r.n_words, r.n_hit, r.n_items) == (30_000, 30_000, 1)
+    same = spark.createDataFrame([(None, "clean words"), (None, items[0][1]), (7, "clean"), (7, items[1][1])], "doc_id long, text string")
+    own = [(r.n_words, r.n_hit) for r in decontamination.contamination(same, bench, 10, broadcast_bytes=broadcast_bytes).collect()]
+    assert sorted(own) == [(1, 0), (2, 0), (12, 12), (12, 12)]
     assert decontamination.contamination(frame.limit(0), bench, 10).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(frame, bench.limit(0), 10).collect())
