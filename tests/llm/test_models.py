@@ -89,37 +89,64 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
-def best_count(text, scores):
-    best = [(0.0, 0)] + [(-np.inf, 0)] * len(text)
+def best_split(word, scores):
+    """Plain Viterbi over the marked word: (log probability, tokens, pieces)."""
+    text, longest, worst = WORD_START + word, max(map(len, scores)), min(scores.values())
+    best = [(0.0, 0, 0, None)] + [(-np.inf, 0, 0, None)] * len(text)
     for end in range(1, len(text) + 1):
-        for start in range(end):
+        for start in range(max(0, end - longest), end):
             piece = text[start:end]
             s, n = scores.get(piece), 1
             if s is None and len(piece) == 1:
                 n = len(piece.encode())
-                s = min(scores.values()) * n
+                s = worst * n
             if s is not None:
                 score, count = best[start][0] + s, best[start][1] + n
                 if score > best[end][0] or (score == best[end][0] and count < best[end][1]):
-                    best[end] = (score, count)
-    return best[-1]
+                    best[end] = (score, count, start, piece if piece in scores else None)
+    found, end = [], len(text)
+    while end:
+        found += [best[end][3]] * (best[end][3] is not None)
+        end = best[end][2]
+    return best[-1][0], best[-1][1], found
 
 
-def test_token_counts_against_plain_viterbi(spark, monkeypatch):
-    scores = tokencount.unigram_scores(default_vocabulary())
-    texts = ["the cathedral's naïve ﷺ", "", None, "abc " * 5000, "y" * 3000, "the cat\tthe catalogue"]
-    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(None, "the", 1, 2), (0, texts[0], 1, 2)], "doc_id long, text string, n_words long, n_tokens long")
-    found = tokencount.token_counts(docs).collect()
-    assert len(found) == 8
+def by_piece(scores):
+    return {p: s for p, s in zip(pieces(default_vocabulary()), scores, strict=True) if p}
+
+
+TEXTS = ["the cathedral's naïve ﷺ", "", None, "abc " * 5000, "y" * 3000, "the cat\tthe catalogue", "\u2003ﷺﷺ\u00a0the ", "ж" * 200 + " don't!!! " + "catalogue" * 60]
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_token_counts_against_plain_viterbi(spark, monkeypatch, fitted):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(TEXTS)] + [(None, "the", 1, 2), (0, TEXTS[0], 1, 2)], "doc_id long, text string, n_words long, n_tokens long")
+    scores = tokencount.fit_scores(docs) if fitted else tokencount.rank_scores(default_vocabulary())
+    found = tokencount.token_counts(docs, scores=None if fitted else scores).collect()
+    assert len(found) == len(TEXTS) + 2
     for r in found:
-        text = "the" if r.doc_id is None else texts[r.doc_id] or ""
-        want = [best_count(WORD_START + w, scores) for w in text.split()] if len(text) < 100 else None
-        if want is not None:
-            assert (r.n_words, r.n_tokens) == (len(want), sum(n for _, n in want)) and abs(r.log_prob - sum(s for s, _ in want)) < 1e-6
-    counter = tokencount.TokenCounter(default_vocabulary())
-    whole = counter.of("the cathedral cat")
+        text = "the" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        each = {w: best_split(w, by_piece(scores)) for w in set(text.split())}
+        want = [each[w] for w in text.split()]
+        assert (r.n_words, r.n_tokens) == (len(want), sum(n for _, n, _ in want)) and np.isclose(r.log_prob, sum(s for s, _, _ in want), rtol=1e-9)
+    counter = tokencount.TokenCounter(default_vocabulary(), scores)
+    whole = counter.of(["the cathedral cat", "", "cat"])
     monkeypatch.setattr(tokencount, "STORE", 1)
-    assert counter.of("catalogue of the") and counter.of("the cathedral cat") == whole
+    assert counter.of(["catalogue of the"]) and [x.tolist() for x in counter.of(["the cathedral cat", "", "cat"])] == [x.tolist() for x in whole]
+    assert tokencount.token_counts(docs.limit(0)).count() == 0
+
+
+def test_piece_scores_are_frequencies_over_all_texts(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(tokencount, "STORE", 3)
+    ranked = by_piece(tokencount.rank_scores(default_vocabulary()))
+    want = Counter(p for t in TEXTS for w in (t or "").split() for p in best_split(w, ranked)[2])
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    found = by_piece(tokencount.fit_scores(docs))
+    total = sum(want.values()) + 0.1 * len(found)
+    assert all(np.isclose(np.exp(s), (want[p] + 0.1) / total) for p, s in found.items())
+    assert len({round(s, 9) for s in by_piece(tokencount.fit_scores(docs.limit(0))).values()}) == 1
 
 
 def test_quality_learns_from_positives_and_unlabelled_text(spark):
