@@ -167,6 +167,36 @@ def test_quality_learns_from_positives_and_unlabelled_text(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def auc(good, bad):
+    return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+
+
+def test_held_out_quality_on_the_registered_table(spark):
+    """Labels of the held-out fold are read by the test alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    good, bad = [r.score for r in held if r.quality == 1], [r.score for r in held if r.quality == 0]
+    assert len(good) > 500 and len(bad) > 80 and auc(good, bad) >= 0.97
+    assert np.mean([s >= 0.3 for s in good]) >= 0.97 and np.mean([s < 0.3 for s in bad]) >= 0.8
+
+
+@pytest.mark.parametrize("share", [0.3, 0.85])
+def test_prior_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(5)
+    draw = lambda n, shift: rng.normal(shift, 1, (n, 6))
+    n = int(4000 * share)
+    found = quality.estimate_prior(draw(1500, 2), np.concatenate([draw(n, 2), draw(4000 - n, -2)]))
+    assert abs(found - share) < 0.06 and quality.estimate_prior(draw(0, 0), draw(9, 0)) == 0.5
+
+
+def test_negative_labels_are_not_read(spark):
+    docs = spark.createDataFrame([(i, ("plain words here " if i % 3 else "## $$ ") * (i % 7 + 1)) for i in range(120)], "doc_id long, text string")
+    labels = [(i, int(i % 3 > 0)) for i in range(120)]
+    both, trusted = (quality.classify(docs, spark.createDataFrame(rows, "doc_id long, quality int")).collect() for rows in (labels, [r for r in labels if r[1]]))
+    assert sorted(both) == sorted(trusted)
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
