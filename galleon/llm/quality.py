@@ -188,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, id_col: str
     most = max(1, fit_rows // 3)
     every, every_p = max(1, -(-docs.count() // (fit_rows - most or 1))), max(1, -(-known.count() // most))
     key = F.xxhash64(F.lit(1), id_col)
-    marked = docs.select(id_col, text_col).join(known.where(F.pmod(F.xxhash64("trusted"), F.lit(every_p)) == 0), F.col(id_col) == F.col("trusted"), "left")
+    # About ``most`` distinct ids at any size, so they are broadcast and no text is shuffled.
+    trusted = F.broadcast(known.where(F.pmod(F.xxhash64("trusted"), F.lit(every_p)) == 0))
+    marked = docs.select(id_col, text_col).join(trusted, F.col(id_col) == F.col("trusted"), "left")
     marked = marked.select(key.alias("key"), F.col("trusted").isNotNull().alias("positive"), (F.pmod(key, F.lit(every)) == 0).alias("sampled"), F.col(text_col).alias("text"))
     rows = with_features(marked.where("positive OR sampled"), "text").collect()
     rows.sort(key=lambda r: (r.key, r.features))
