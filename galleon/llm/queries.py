@@ -78,6 +78,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.llm.sortmeans import sort_means
+
+    return sort_means(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.llm.grayindex import simhash_duplicates
+
+    out = simhash_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -155,5 +168,26 @@ FROM t LEFT JOIN cut USING (doc_id)
 """
 
 
+
+def _sort_means_sql(clusters: int, rounds: int) -> str:
+    """Plain k-means: every vector against every centroid."""
+    steps = [
+        "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v ORDER BY h, v LIMIT {clusters}))",
+    ]
+    for k in range(rounds + 1):
+        apart = "CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT)"
+        steps.append(f"a{k} AS (SELECT vec_id, v, c, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, c) AS n FROM (SELECT i, vec_id, v.v, c, {apart} AS d FROM (SELECT *, row_number() OVER () AS i FROM v) AS v, c{k} AS c)) WHERE n = 1)")
+        if k < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            parts = f"SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(64)) AS p, unnest(v) AS x FROM a{k}) GROUP BY c, p"
+            steps.append(f"m{k} AS (SELECT c, list(CAST({mean} AS BIGINT) ORDER BY p) AS v FROM ({parts}) GROUP BY c), c{k + 1} AS (SELECT c, coalesce(m.v, c.v) AS v FROM c{k} AS c LEFT JOIN m{k} AS m USING (c))")
+    return ", ".join(steps) + (
+        f" SELECT a.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} AS a JOIN c{rounds} AS c USING (c)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_sort_means": _sort_means_sql(16, 3)}
