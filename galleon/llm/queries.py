@@ -91,6 +91,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -169,6 +175,40 @@ FROM t LEFT JOIN cut USING (doc_id)
 
 
 
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), word AS (
+  SELECT i, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT i) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term
+), l AS (
+  SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM kept GROUP BY lang
+), s AS (
+  SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * l.v) AS BIGINT) AS p, CAST(1 + 1000000000 * (kept.n + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed ON summed.lang = a.lang AND summed.source = a.source AND summed.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM part
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def _sort_means_sql(clusters: int, rounds: int) -> str:
     """Plain k-means: every vector against every centroid."""
     steps = [
@@ -190,4 +230,4 @@ def _sort_means_sql(clusters: int, rounds: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_sort_means": _sort_means_sql(16, 3)}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_sort_means": _sort_means_sql(16, 3), "op13_divergence": OP13_SQL}
