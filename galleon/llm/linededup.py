@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleon.llm.common import same, small_batches, stored, text_or_empty, worker_store
+from galleon.llm.common import payload, small_batches, stored, text_or_empty, worker_store
 from galleon.llm.windows import mixed, prefix_hashes, span_hashes
 
-#: Each further round of a run that is not aligned yet takes so many times the holders of the round before.
-WIDER = 16
+#: Documents are first paired by the runs of lines that at most so many rows have.
+RARE = 64
 
 
 def _anchors(a: Sequence, b: Sequence, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -66,25 +66,74 @@ def patience_blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def repeated_lines(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], least: int) -> list[int]:
-    """Lines of ``b`` in blocks aligned with ``a`` of at least ``least`` characters."""
-    return [k for _, j, n in patience_blocks(a, b) if sum(sizes[j : j + n]) >= least for k in range(j, j + n)]
+def common_runs(a: Sequence, b: Sequence, sizes: Sequence[int], least: int) -> list[int]:
+    """Lines of ``b`` in runs of at least ``least`` characters that ``a`` has as well, anywhere."""
+    b, sizes, wanted = np.array(b), np.array(sizes, np.int64), set(b)
+    chars, lines = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
+    edges = np.zeros(len(b) + 1, np.int64)
+    for x in a:  # what ends at a line of a and a line of b goes on from what ended one line before in both
+        same = b == x if x in wanted else np.zeros(len(b), bool)
+        chars[1:], lines[1:] = np.where(same, chars[:-1] + sizes, 0), np.where(same, lines[:-1] + 1, 0)
+        ends = np.flatnonzero((chars[1:] >= least) & same)
+        if len(ends):
+            np.add.at(edges, ends + 1 - lines[ends + 1], 1)
+            np.add.at(edges, ends + 1, -1)
+    return np.flatnonzero(np.cumsum(edges[:-1]) > 0).tolist()
+
+
+def unsettled(b: Sequence, gone: list[bool], known: set, sizes: Sequence[int], low: int, high: int, least: int) -> list[tuple[int, int]]:
+    """Spans of ``b`` in [low, high) that can hold another common run: lines still there, and ``least`` characters around them."""
+    spans, k = [], low
+    while k < high:
+        if b[k] not in known:
+            k += 1
+            continue
+        start = k
+        while k < high and b[k] in known:
+            k += 1
+        if sum(sizes[start:k]) < least:
+            continue
+        i = start
+        while i < k:
+            if gone[i]:
+                i += 1
+                continue
+            first = i
+            while i < k and not gone[i]:
+                i += 1
+            left, right, n = first, i, 0
+            while left > start and n < least:
+                left, n = left - 1, n + sizes[left - 1]
+            n = 0
+            while right < k and n < least:
+                right, n = right + 1, n + sizes[right]
+            if sum(sizes[left:right]) >= least:
+                spans.append((left, right))
+    return spans
 
 
-def overlapping(lines: DataFrame, least: int, rare_share: float) -> DataFrame:
-    """Pairs (id, first): a later document and the earliest holder of a rare line of its own.
+def repeated_lines(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], least: int) -> list[int]:
+    """Lines of ``b`` in runs of at least ``least`` characters that stand in ``a``, found by alignment.
 
-    ``lines`` has (id, h, size) with arrays. Lines in more than ``rare_share`` of
-    all documents name no earlier document. A pair whose shared lines have fewer
-    than ``least`` characters in all falls away. Blocks that are in an earlier
-    document, but in none of the pairs, are lost: ``line_dedup`` asks for these
-    pairs only where it is given a ``rare_share``.
+    The aligned blocks of a patience diff go first. What is left, with the lines
+    around it, is aligned with all of ``a`` again, as blocks may have moved. Where
+    a diff brings nothing new, as its lines are repeated and none can be an anchor,
+    all common runs of the span are looked up.
     """
-    limit = max(2, int(lines.count() * rare_share))
-    each = lines.select("id", F.explode(F.array_distinct(F.arrays_zip("h", "size"))).alias("x")).select("id", F.col("x.h").alias("h"), F.col("x.size").alias("size")).where("size > 0")
-    held = each.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).select("h", "first")
-    held = stored(held, "held")  # the join then has two fresh shuffles, and Spark can split a line's rows
-    return each.join(held, "h").where("first < id").groupBy("id", "first").agg(F.sum("size").alias("shared")).where(F.col("shared") >= least).select("id", "first")
+    gone, known, todo = [False] * len(b), set(a), [(0, len(b))]
+    while todo:
+        low, high = todo.pop()
+        new = False
+        for _, j, n in patience_blocks(a, b[low:high]):
+            j += low
+            if sum(sizes[j : j + n]) >= least and not all(gone[j : j + n]):
+                gone[j : j + n], new = [True] * n, True
+        if new:
+            todo += unsettled(b, gone, known, sizes, low, high, least)
+        else:
+            for k in common_runs(a, b[low:high], sizes[low:high], least):
+                gone[low + k] = True
+    return [k for k, x in enumerate(gone) if x]
 
 
 def minimal_runs(starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,109 +154,98 @@ def minimal_runs(starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.
 
 
 def runs_of(own: DataFrame, least: int) -> DataFrame:
-    """(id, run, low, high): the minimal runs of each document's lines, with a hash of their lines."""
+    """(row, id, run, check, low, high): the minimal runs of each row's lines, with 96 bits of hashes of their lines."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_store("lines")  # lets go of what an earlier stage has left in the worker
         for batch in batches:
-            h, size = batch.column(1), batch.column(2)
+            h, size = batch.column(2), batch.column(3)
             starts = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             low, high = minimal_runs(starts, size.flatten().to_numpy(zero_copy_only=False).astype(np.int64), least)
-            run = mixed(span_hashes(prefix_hashes(h.flatten().to_numpy(zero_copy_only=False).view(np.uint64)), low, high)).view(np.int64)
+            lines = h.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            run, check = (mixed(span_hashes(prefix_hashes(x), low, high)) for x in (lines, mixed(~lines)))
             doc = np.searchsorted(starts, low, "right") - 1
-            cols = (batch.column(0).take(pa.array(doc)), pa.array(run), pa.array((low - starts[doc]).astype(np.int32)), pa.array((high - starts[doc]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(list(cols), ["id", "run", "low", "high"])
+            at, cols = pa.array(doc), (run.view(np.int64), check.astype(np.uint32).view(np.int32), (low - starts[doc]).astype(np.int32), (high - starts[doc]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, cols)], ["row", "id", "run", "check", "low", "high"])
 
-    return own.select("id", "h", "size").mapInArrow(spread, "id long, run long, low int, high int")
+    return own.select("row", "id", "h", "size").mapInArrow(spread, "row long, id long, run long, check int, low int, high int")
 
 
 def aligned(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
-    """(dropped_id, drop): the lines that the later documents of ``pairs`` lose, each once."""
-    both = pairs.join(own.select("id", "h", "size"), "id").join(own.select(F.col("id").alias("first"), F.col("h").alias("earlier")), "first")
+    """(row, line): the lines that the later rows of ``pairs`` (row, first) lose, each once."""
+    both = pairs.join(own.select("row", "h", "size"), "row").join(own.select(F.col("row").alias("first"), F.col("h").alias("earlier")), "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [repeated_lines(a.as_py(), b.as_py(), s.as_py(), least) for a, b, s in zip(batch.column(3), batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["dropped_id", "drop"])
+            found = [repeated_lines(a, b, s, least) for a, b, s in zip(*(batch.column(k).to_pylist() for k in (3, 1, 2)), strict=True)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([k for x in found for k in x], pa.int32())], ["row", "line"])
 
-    drops = both.select("id", "h", "size", "earlier").mapInArrow(align, "dropped_id long, drop array<int>")
-    return drops.select("dropped_id", F.explode("drop").alias("line")).distinct().groupBy("dropped_id").agg(F.collect_list("line").alias("drop"))
+    return both.select("row", "h", "size", "earlier").mapInArrow(align, "row long, line int").distinct()
 
 
 def repeated_in_earlier(own: DataFrame, least: int) -> DataFrame:
-    """(dropped_id, drop): the lines that documents lose to all the earlier ones, as if aligned with each.
-
-    A copy of an earlier document loses all its lines. The others are aligned
-    with the earliest holder of each of their minimal runs. Where that leaves a
-    run in place, as it is moved or repeated in one of the two, more of its
-    holders are tried, ``WIDER`` times as many each round, until the run is
-    deleted or there is no other holder.
+    """(row, drop): the lines of each row in runs of ``least`` characters or more that stand in a row with a smaller id.
+
+    ``own`` has (row, id, content, h, size), each content of an id once. A copy of
+    an earlier document loses all its lines. The others are aligned with the
+    earliest holder of each of their minimal runs: first of those that are rare,
+    then of the frequent ones that this has left. A pair settles every run that
+    its two rows share, so a run needs one holder, and there are no more pairs
+    than runs.
     """
     least = max(1, least)
-    copies = stored(own.groupBy(F.xxhash64("h", "size").alias("content")).agg(F.min("id").alias("id")).select("id"), "originals")
+    originals = stored(own.groupBy("content").agg(F.min("id").alias("id")), "originals")
+    marked = own.join(originals.withColumnRenamed("id", "original"), "content")
     total = F.aggregate("size", F.lit(0).cast("long"), lambda n, x: n + x)
-    whole = own.join(copies, "id", "left_anti").where(total >= least).select(F.col("id").alias("dropped_id"), F.sequence(F.lit(0), F.size("h") - 1).alias("drop"))
-    found = stored(whole, "copies")
-    runs = stored(runs_of(own.join(copies, "id", "left_semi"), least), "runs")
-    held = runs.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    held = stored(held, "held")  # the join then has two fresh shuffles, and Spark can split a run's rows
-    shared = stored(runs.join(held, "run"), "shared")
-    pairs, left = shared.where("first < id").select("id", "first").distinct(), shared.where("first < id")
-    most = held.agg(F.max("n")).first()[0] or 0
-    # A holder's round, by a hash of its id: about WIDER holders of a run in the first, and so on.
-    place = F.pmod(F.xxhash64("first"), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("n")
-    holders = shared.select("run", F.col("id").alias("first"), "n").distinct()
-    reach = 0
-    while True:
-        drops = stored(aligned(stored(pairs, "pairs"), own, least), "aligned")
-        found = found.union(drops)
-        if reach >= most:
-            return found
-        # Runs with a line that no round has deleted; the lines of earlier rounds are no longer among those looked for.
-        rest = F.array_except(F.coalesce("rest", F.sequence("low", F.col("high") - 1)), F.coalesce("drop", F.array().cast("array<int>")))
-        left = left if "rest" in left.columns else left.withColumn("rest", F.lit(None).cast("array<int>"))
-        left = left.join(drops, F.col("id") == F.col("dropped_id"), "left").select("id", "run", "low", "high", rest.alias("rest")).where(F.size("rest") > 0)
-        left = stored(left, "left")
-        if left.isEmpty():
-            return found
-        low, reach = reach, (reach or 1) * WIDER
-        tried = holders.where((place >= low) & (place < reach))
-        pairs = left.select("id", "run").distinct().join(tried, "run").where("first < id").select("id", "first").distinct()
-
-
-def line_dedup(docs: DataFrame, least: int = 60, rare_share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delete from each document the lines of blocks that it shares with an earlier one.
-
-    Documents (smaller id: earlier) are aligned by patience diff on 64-bit line
-    hashes, and the later one loses the aligned common blocks of at least
-    ``least`` characters, whichever earlier documents they are aligned with.
-    With a ``rare_share`` only the earliest holders of lines in at most that
-    share of all rows are aligned with. Each deleted line still stands in an
-    earlier document, as the earliest of its holders is cut by none.
+    copies = marked.where((F.col("id") > F.col("original")) & (total >= least)).select("row", F.sequence(F.lit(0), F.size("h") - 1).alias("drop"))
+    first_rows = stored(marked.where(F.col("id") == F.col("original")).select("row", "id", "h", "size"), "firsts")
+    runs = stored(runs_of(first_rows, least), "runs")
+    held = runs.groupBy("run", "check").agg(F.min(F.struct("id", "row")).alias("least"), F.max("id").alias("last"), F.count("*").alias("n")).where("least.id < last")
+    held = stored(held.select("run", "check", F.col("least.id").alias("first_id"), F.col("least.row").alias("first"), (F.col("n") <= RARE).alias("rare")), "held")
+    shared = stored(runs.join(held, ["run", "check"]).where("first_id < id").select("row", "first", "low", "high", "rare"), "shared")
+    lines = stored(aligned(stored(shared.where("rare").select("row", "first").distinct(), "pairs"), first_rows, least), "aligned")
+    rest = shared.where("NOT rare").select("row", "first", "low", "high")
+    if not rest.isEmpty():
+        done = lines.groupBy("row").agg(F.collect_set("line").alias("drop")).withColumnRenamed("row", "done")
+        open_lines = F.array_except(F.sequence("low", F.col("high") - 1), F.coalesce("drop", F.array().cast("array<int>")))
+        left = rest.join(done, F.col("row") == F.col("done"), "left").where(F.size(open_lines) > 0).select("row", "first").distinct()
+        lines = lines.union(stored(aligned(stored(left, "pairs"), first_rows, least), "aligned"))
+    return copies.union(lines.groupBy("row").agg(F.collect_set("line").alias("drop")))
+
+
+def line_dedup(docs: DataFrame, least: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Delete from each document the lines of runs that it shares with an earlier one.
+
+    Documents (smaller id: earlier) are paired by shared runs of lines and aligned
+    by patience diff, and the later one loses every run of consecutive lines with at
+    least ``least`` characters (outer blanks not counted) that stands in an earlier
+    document. Each deleted line still stands in one, as the earliest holder of a
+    run is cut in it by none. Runs are found by 96 bits of hashes, and the lines of
+    a pair are compared by 64 bits.
 
     Returns the input's columns with the kept text in ``text_col``, and n_lines,
     n_removed. Other columns, n_lines and n_removed excepted, stay as they are. A
     null text stays null with no lines; an empty text has one empty line. Rows
-    with a null id are returned as they are; rows that repeat an id are aligned
-    with earlier ids, not with each other. An empty table gives no row.
+    with a null id are returned as they are. Rows that repeat an id are judged each
+    by its own text, against smaller ids and not against each other; those that
+    repeat the text as well are cut alike. An empty table gives no row.
     """
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    content = F.md5(payload(text_col))
     split = F.split(text_or_empty(text_col), "\n")
-    lines = docs.select(F.col(id_col).alias("id"), split.alias("x")).select(
-        "id",
-        F.transform("x", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("x", lambda x: F.length(F.trim(x))).alias("size"),
-    )
-    lines = stored(lines, "lines")
-    own = stored(lines.where(F.col("id").isNotNull()).dropDuplicates(["id"]), "own")
-    found = repeated_in_earlier(own, least) if rare_share is None else aligned(stored(overlapping(lines, least, rare_share), "pairs"), own, least)
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), content.alias("content"), split.alias("x"))
+    lines = known.select("id", "content", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", lambda x: F.length(F.trim(x))).alias("size"))
+    own = stored(lines.dropDuplicates(["id", "content"]).withColumn("row", F.monotonically_increasing_id()), "own")
+    found = stored(repeated_in_earlier(own, least), "found")
     # Names that no input column has.
     taken = {n.lower() for n in names}
-    key, gone = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in taken) for base in ("dropped_id", "drop"))
-    drops = stored(found.groupBy("dropped_id").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop")), "drops").toDF(key, gone)
+    key, of, gone = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in taken) for base in ("dropped_id", "dropped_content", "drop"))
+    drops = found.join(own.select("row", "id", "content"), "row").select("id", "content", "drop")
+    drops = stored(drops, "drops").toDF(key, of, gone)
     # One plan for all sizes: a short list of drops could be broadcast, a long one could not.
-    joined = docs.select(*names).join(drops.hint("merge"), same(docs[id_col], drops[key]), "left")
+    joined = docs.select(*names).join(drops.hint("merge"), (docs[id_col] == drops[key]) & (content == drops[of]), "left")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
     at = names.index(text_col)
 

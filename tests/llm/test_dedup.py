@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 
 from galleon.llm import minhash, suffixes
 from galleon.llm.components import connected_components
-from galleon.llm.linededup import line_dedup, patience_blocks, repeated_lines
+from galleon.llm import linededup
+from galleon.llm.linededup import common_runs, line_dedup, patience_blocks, repeated_lines
 from galleon.llm.minhash import MinHash, links_within, near_duplicates, shingles
 from galleon.llm import suffixdedup
 from galleon.llm.suffixdedup import remove_repeats
@@ -234,47 +235,91 @@ def test_patience_blocks_are_common_and_in_order(a, b):
         assert sum(n for *_, n in patience_blocks(a, b)) == len(a)
 
 
+def standing_in(earlier, own, sizes, least=60):
+    """Every run of lines of both documents, longest first from each pair of starts, without any alignment."""
+    gone = set()
+    for i in range(len(earlier)):
+        for j in range(len(own)):
+            n = 0
+            while i + n < len(earlier) and j + n < len(own) and earlier[i + n] == own[j + n]:
+                n += 1
+            if sum(sizes[j : j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return gone
+
+
+def lines_to_lose(rows):
+    """The lines that each row loses to rows with smaller ids, every pair looked at."""
+    lines = [(t or "").split("\n") for _, t in rows]
+    out = []
+    for (i, _), own in zip(rows, lines, strict=True):
+        sizes = [len(x.strip(" ")) for x in own]
+        out.append(set().union(*(standing_in(e, own, sizes) for (f, _), e in zip(rows, lines, strict=True) if i is not None and f is not None and f < i)))
+    return out
+
+
+def cut_by_hand(rows):
+    """(id, text, n_lines, n_removed) of all rows, by the brute-force rule."""
+    out = []
+    for (i, text), gone in zip(rows, lines_to_lose(rows), strict=True):
+        own = [] if text is None else text.split("\n")
+        out.append((i, text if not gone else "\n".join(x for k, x in enumerate(own) if k not in gone), len(own), len(gone)))
+    return sorted(out, key=str)
+
+
+def cut_rows(df):
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in df.collect()), key=str)
+
+
+@given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20), st.integers(1, 120))
+@settings(max_examples=500, deadline=None)
+def test_alignment_finds_every_common_run(a, b, least):
+    sizes = [(0, 5, 17, 40, 70)[x] for x in b]
+    want = standing_in(a, b, sizes, least)
+    assert repeated_lines(a, b, sizes, least) == sorted(want)
+    assert common_runs(a, b, sizes, least) == sorted(want)
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(9)
     pool = [f"line {i} " + "word " * rng.randrange(1, 12) for i in range(80)]
     rows = [(0, None), (1, ""), (2, "short\n\nshort"), (3, "only\n" + pool[0])]
-    rows += [(i, "\n".join([*rng.choices(pool, k=rng.randrange(1, 5)), *pool[5 * (i % 9) :][: rng.randrange(2, 6)]])) for i in range(4, 60)] + [(70, rows[3][1]), (71, "x" * 100_000)]
-    docs = frame(spark, rows).union(frame(spark, [(None, rows[3][1]), rows[3]]))
-    lines = {i: [] if t is None else t.split("\n") for i, t in rows}
-    held = Counter(x for i, t in [*rows, (None, rows[3][1]), rows[3]] for x in set((t or "").split("\n")))
-    first = {}
-    for i in sorted(lines):
-        for x in lines[i]:
-            first.setdefault(x, i)
-    found = line_dedup(docs, least=60, rare_share=0.9).collect()
-    assert len(found) == len(rows) + 2 and sum(r.n_removed for r in found) > 20
-    for r in found:
-        if r.doc_id is None:
-            assert r.text == rows[3][1] and r.n_removed == 0
-            continue
-        own, gone, shared = lines[r.doc_id], set(), Counter()
-        for x in set(own):
-            if x.strip(" ") and 1 < held[x] <= int(len(found) * 0.9) and first[x] < r.doc_id:
-                shared[first[x]] += len(x.strip(" "))
-        sizes = [len(x.strip(" ")) for x in own]
-        for f, n in shared.items():
-            if n >= 60:
-                gone |= set(repeated_lines(lines[f], own, sizes, 60))
-        text = dict(rows)[r.doc_id]
-        assert r.text == (text if not gone else "\n".join(x for k, x in enumerate(own) if k not in gone))
-        assert (r.n_lines, r.n_removed) == (len(own), len(gone))
-    assert line_dedup(docs.limit(0)).count() == 0
-
-
-def aligned_with_all(rows):
-    lines = {i: (t or "").split("\n") for i, t in rows}
-    gone = {i: set() for i in lines}
-    for i, own in lines.items():
-        sizes = [len(x.strip(" ")) for x in own]
-        for f in lines:
-            if f < i:
-                gone[i] |= set(repeated_lines(lines[f], own, sizes, 60))
-    return gone
+    rows += [(i, "\n".join([*rng.choices(pool, k=rng.randrange(1, 5)), *pool[5 * (i % 9) :][: rng.randrange(2, 6)]])) for i in range(4, 60)] + [(70, rows[3][1]), (71, "x" * 100_000), (72, "x" * 100_000)]
+    rows += [(None, rows[3][1]), rows[3], (None, None)]
+    found = cut_rows(line_dedup(frame(spark, rows)))
+    assert found == cut_by_hand(rows) and sum(r[3] for r in found) > 20
+    assert line_dedup(frame(spark, [])).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    shared, unique, more = "s" * 70, "u" * 70, "m" * 70
+    rows = [(1, shared), (2, f"{shared}\ntail"), (2, f"{unique}\nsecond"), (2, f"{shared}\ntail"), (3, f"{more}\n{unique}"), (3, shared), (4, more)]
+    found = cut_rows(line_dedup(frame(spark, rows)))
+    assert found == cut_by_hand(rows)
+    assert [r[1] for r in found if r[0] == 2] == ["tail", "tail", f"{unique}\nsecond"]
+
+
+@pytest.mark.parametrize("rare", [0, 3, 10_000])
+def test_a_line_repeated_in_many_documents_goes_with_few_pairs(spark, monkeypatch, rare):
+    line = "notice " * 13
+    own = lambda i, k: f"{i} {k} own words"
+    rows = [(i, "\n".join([own(i, 0), line, own(i, 1), line, own(i, 2)])) for i in range(240)]
+    pairs, plain = [], linededup.aligned
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return plain(found, *rest)
+
+    monkeypatch.setattr(linededup, "aligned", counted)
+    monkeypatch.setattr(linededup, "RARE", rare)
+    assert removed_lines(spark, rows) == {i: 2 if i else 0 for i in range(240)}
+    assert sum(pairs) == 239
+
+
+def test_moved_blocks_go(spark):
+    blocks = [f"block {k} " + "b" * 60 for k in range(12)]
+    rows = [(1, "\n".join(blocks)), (2, "\n".join(reversed(blocks))), (3, "\n".join(blocks[6:] + ["new"] + blocks[:6] + blocks[3:5]))]
+    assert removed_lines(spark, rows) == {1: 0, 2: 12, 3: 14}
 
 
 def removed_lines(spark, rows):
@@ -294,17 +339,15 @@ def test_line_dedup_keeps_columns_with_the_names_of_its_helpers(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "x" * 70, "a", "b", 1, 0), (2, "", "c", "d", 1, 1)]
 
 
-def test_line_dedup_aligns_with_all_earlier_documents(spark):
+@pytest.mark.parametrize("rare", [0, 2, 64])
+def test_line_dedup_looks_at_all_earlier_documents(spark, monkeypatch, rare):
     rng = random.Random(17)
     pool = [f"l{i} " + "w" * rng.randrange(1, 80) for i in range(25)] + ["", " "]
     rows = [(0, None), (1, "")] + [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in range(2, 250)]
-    rows += [(i, rows[rng.randrange(250)][1]) for i in range(250, 270)]
-    want = aligned_with_all(rows)
-    text = dict(rows)
-    for r in line_dedup(frame(spark, rows).repartition(4)).collect():
-        kept = [x for k, x in enumerate((text[r.doc_id] or "").split("\n")) if k not in want[r.doc_id]]
-        assert r.n_removed == len(want[r.doc_id]) and r.text == (text[r.doc_id] if not r.n_removed else "\n".join(kept))
-    assert sum(map(len, want.values())) > 200
+    rows += [(i, rows[rng.randrange(250)][1]) for i in range(200, 270)]
+    monkeypatch.setattr(linededup, "RARE", rare)
+    found = cut_rows(line_dedup(frame(spark, rows).repartition(4)))
+    assert found == cut_by_hand(rows) and sum(r[3] for r in found) > 200
 
 
 def test_lines_in_most_documents_go_at_every_size(spark):
