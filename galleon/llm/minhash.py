@@ -42,6 +42,11 @@ def shingles(data: bytes, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
+def _key(x: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return hashlib.md5(x.tobytes()).digest()
+
+
 def bands_for(percent: int, rows: int, miss: float = 1e-7) -> int:
     """Bands of ``rows`` minima, so that a pair at the threshold shares no band with a probability of at most ``miss``."""
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
@@ -82,7 +87,7 @@ def _described(docs: DataFrame, hashes: MinHash, id_col: str, text_col: str, wid
             keys, sizes, where, signatures = [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 x = shingles(text.as_py(), width)
-                key = hashlib.md5(x.tobytes()).digest()
+                key = _key(x)
                 keys.append(key), sizes.append(len(x))
                 if len(x) and key not in seen:
                     if len(seen) < 1_000_000:
@@ -280,16 +285,18 @@ def near_duplicates(
 
     Returns (id, n_shingles, component_id, kept), a row for each input row. A
     document without words, null or empty, has size 0 and links with nothing. A
-    row with a null id takes no part: its component is null and it is kept. Of
-    repeated rows each is returned, all with the same component. Extra columns
-    are ignored; an empty table gives no row. The id is a long.
+    row with a null id takes no part: its component is null and it is kept. Rows
+    that repeat an id are rows of their own: with other texts each links by its
+    own set, with equal texts all have the same component. Extra columns are
+    ignored; an empty table gives no row. The id is a long.
     """
     small_batches(docs.sparkSession)
     hashes = MinHash(bands or bands_for(percent, rows), rows)
     described = stored(_described(docs, hashes, id_col, text_col, width).withColumnRenamed(id_col, "id"), "signatures")
     with_words = described.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    nodes = with_words.groupBy("key").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
-    nodes = stored(nodes, "nodes")
+    nodes = with_words.groupBy("key").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
+    # A node is a set, not an id: ids may repeat. Its number is written with it.
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # A tenth covers the error of the estimates besides what links allow.
     edges = _stars(nodes, coarse, coarse + 1 - percent / 100 + 0.1, rounds, 4 * block)
     clusters = connected_components(edges, "leader", "node").withColumnRenamed("component", "cluster")
@@ -297,19 +304,23 @@ def near_duplicates(
     fits = (F.count("*") <= 2 * block) & (F.sum("bytes") <= 2 * block_bytes)
     large = stored(members.groupBy("cluster").agg(fits.alias("fits")).where(~F.col("fits")).select("cluster"), "large")
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), payload(text_col).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("least"), payload(text_col).alias("text"))
+    places = nodes.select("node", "least", "key")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_pylist()
-        first = sorted({i: k for k, i in enumerate(ids)}.items())  # repeated rows count once
-        found = links_within([shingles(table.column("text")[k].as_py(), width) for _, k in first], percent) if len(first) > 1 else []
-        return pa.table({"a": pa.array([first[i][0] for i, _ in found], pa.int64()), "b": pa.array([first[j][0] for _, j in found], pa.int64())})
+        sets = {}
+        for node, key, text in zip(table.column("node").to_pylist(), table.column("key").to_pylist(), table.column("text"), strict=True):
+            if node not in sets and _key(x := shingles(text.as_py(), width)) == key:  # another text of the same id is another node
+                sets[node] = x
+        ids = sorted(sets)
+        found = links_within([sets[i] for i in ids], percent) if len(ids) > 1 else []
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     def links(groups: DataFrame) -> DataFrame:
         """Links inside groups; the list of the texts' places is broadcast only when it is short."""
-        wanted = stored(groups, "groups")
+        wanted = stored(groups.join(places, "node"), "groups")
         few = wanted.count() <= broadcast_nodes
-        return texts.join(F.broadcast(wanted) if few else wanted, "node").groupBy("group").applyInArrow(compare, "a long, b long")
+        return texts.join(F.broadcast(wanted) if few else wanted, "least").select("group", "node", "key", "text").groupBy("group").applyInArrow(compare, "a long, b long")
 
     groups = members.join(large, "cluster", "left_anti").select("node", F.col("cluster").cast("string").alias("group"))
     if large.isEmpty():
@@ -323,7 +334,8 @@ def near_duplicates(
         parted = parted.join(stored(close, "close"), F.col("node") == F.col("close"), "left").withColumn("settled", F.col("close").isNotNull())
         found = to_leaders.union(links(groups.union(_groups(parted, percent, block, block_bytes))))
     linked = connected_components(found, "a", "b")
-    named = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    grouped = stored(nodes.select("key", "node", "least").join(linked, "node", "left").select("key", "least", F.coalesce("component", "node").alias("part")), "grouped")
+    named = grouped.select("key", "part").join(grouped.groupBy("part").agg(F.min("least").alias("component")), "part").select("key", "component")
     own = described.select("id", "key", "n_shingles")
     known = own.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).join(named, "key").select("id", "n_shingles", F.col("component"))
     alone = own.where((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.col("id"))

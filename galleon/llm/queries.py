@@ -175,6 +175,27 @@ FROM t LEFT JOIN cut USING (doc_id)
 
 
 
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, k, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS c
+  FROM (SELECT doc_id, k, x[k] AS line, length(trim(x[k], ' ')) AS n FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM d))
+), run AS (
+  SELECT a.doc_id, a.k AS low, min(b.k) AS high FROM l AS a JOIN l AS b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.c - a.c + a.n >= 60 GROUP BY a.doc_id, a.k
+  UNION SELECT b.doc_id, max(a.k), b.k FROM l AS a JOIN l AS b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.c - a.c + a.n >= 60 GROUP BY b.doc_id, b.k
+), held AS (
+  SELECT run.*, min(doc_id) OVER (PARTITION BY list_slice(x, low, high)) AS first FROM run JOIN d USING (doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS k FROM held WHERE first < doc_id
+), cut AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, coalesce(string_agg(CASE WHEN gone.k IS NULL THEN line END, chr(10) ORDER BY l.k), '') AS kept
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = l.k GROUP BY l.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(octet_length(encode(coalesce(kept, ''))) AS BIGINT) AS kept_bytes, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN cut USING (doc_id)
+"""
+
 OP13_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -230,4 +251,4 @@ def _sort_means_sql(clusters: int, rounds: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_sort_means": _sort_means_sql(16, 3), "op13_divergence": OP13_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_sort_means": _sort_means_sql(16, 3), "op13_divergence": OP13_SQL}

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -202,6 +203,19 @@ def test_near_duplicates_against_brute_force(spark, block):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_rows_that_repeat_an_id_link_by_their_own_text(spark, block):
+    text = lambda k: [f"t{k}w{j}" for j in range(120)]
+    change = lambda words: " ".join([*words[:60], "other", *words[61:]])
+    a, b, c = text(1), text(2), text(3)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, change(a)), (3, change(b)), (7, " ".join(c)), (5, " ".join(b)), (None, " ".join(c)), (8, change(c)), (5, "")]
+    rows += [(10 + k, change(a[:-1] + [f"end{k}"])) for k in range(20)]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows), 3, 85, block=block).collect()), key=str)
+    want = [(5, 118, 2, False), (5, 118, 3, False), (2, 118, 2, True), (3, 118, 3, True), (7, 118, 7, True), (5, 118, 3, False), (None, 118, None, True), (8, 118, 7, False), (5, 0, 5, True)]
+    want += [(10 + k, 118, 2, False) for k in range(20)]
+    assert found == sorted(want, key=str)
+
+
 def test_links_survive_buckets_led_by_unlike_documents(spark):
     rng = random.Random(11)
     base = ["b%d" % i for i in range(60)]
@@ -350,6 +364,18 @@ def test_line_dedup_looks_at_all_earlier_documents(spark, monkeypatch, rare):
     assert found == cut_by_hand(rows) and sum(r[3] for r in found) > 200
 
 
+def test_registered_line_dedup_equals_its_sql(spark):
+    from galleon.llm.queries import op9_line_dedup, oracle_sql
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(oracle_sql()["op9_line_dedup"]).fetchall()
+    names = [c[0] for c in con.description]
+    found = op9_line_dedup(spark, "/root/testdata/sf0.01")
+    assert found.columns == names and sorted(map(tuple, found.collect())) == sorted(want)
+    assert sum(r[2] for r in want) > 50
+
+
 def test_lines_in_most_documents_go_at_every_size(spark):
     line = "licence " * 10
     few = [(i, line) for i in range(3)] + [(3, "other"), (4, "text")]
