@@ -209,20 +209,31 @@ def fit(train: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     return LanguageModel(path, languages, np.stack([prob[x] for x in languages], 1) if languages else np.zeros((size, 0)), shares / max(1, shares.sum()))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+#: Equally likely letters that a language is held against.
+LETTERS = 32
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", with_gain: bool = False) -> DataFrame:
     """Add (lang_pred, score): the likeliest language and its posterior probability.
 
+    The posterior says which of the learned languages fits best, not whether any of
+    them fits. ``with_gain`` adds gain: the log likelihood of the letters in the best
+    language, less that of drawing each from ``LETTERS`` equally likely ones; it is 0
+    where nothing is predicted.
+
     A null text or one without a letter is ``und`` with score 0, as is every text
     if the model knows no language. All of a text counts, however long. Ties go
     to the language that sorts first. The rows keep their other columns, except
-    ones named lang_pred and score, which are replaced; null ids and repeated
+    ones with the names of those added, which are replaced; null ids and repeated
     rows are rows like others, and an empty table gives no row.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["gain"] if with_gain else [])]
+    names = [c for c in docs.columns if c not in added]
     key = f"{hash(model.prob.tobytes())}"
     shared = docs.sparkSession.sparkContext.broadcast((model.path, model.languages, model.prob, np.log(np.maximum(model.prior, 1e-12))))
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("gain", "double") if with_gain else schema
     at = names.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +258,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             return [table[np.fromiter(map(rows.__getitem__, w), np.int64, len(w))].sum(0) for w in lists]
 
         for batch in batches:
-            found, sure, waiting = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, []
+            found, sure, gain, waiting = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows, []
             total = {}
 
             def settle(waiting=waiting, total=total) -> None:
@@ -258,6 +269,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             held = 0
             for row, text in enumerate(batch.column(at)):
                 words = WORD.findall((text.as_py() or "").lower()) if languages else []
+                gain[row] = sum(map(len, words)) * float(np.log(LETTERS))
                 for k in range(0, len(words), most // 4):
                     part = words[k : k + most // 4]
                     waiting.append((row, part))
@@ -269,7 +281,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             for row, t in total.items():
                 best = int(t.argmax())
                 found[row], sure[row] = languages[best], float(1 / np.exp(t - t[best]).sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, "lang_pred", "score"])
+                gain[row] += float((t - prior)[best])
+            results = [pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(gain, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *results[: len(added)]], [*names, *added])
 
     return docs.select(*names).mapInArrow(score, schema)
 
