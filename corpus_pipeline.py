@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galleon.llm.common import same, shared_path
+from galleon.llm.common import shared_path, stored
 from galleon.llm.decontamination import contamination
 from galleon.llm.langid import fit, predict, training_rows
 from galleon.llm.linededup import line_dedup
@@ -19,12 +19,19 @@ from galleon.llm.packing import best_fit_packing
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows that the language model learns from.
 FIT_ROWS = 10_000
-#: A text whose best language has a lower posterior probability is rejected.
+#: A text whose best language has a lower posterior probability is rejected,
 SURE = 0.5
+#: and one whose letters that language explains so much worse than letters drawn at random (natural logarithm).
+LOSS = -20.0
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of documents with a number for each row, written so that it stays the same wherever it is read."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language: not ``und``, and not torn between languages.
+    """Keep documents in a recognised language: not ``und``, not torn between languages, and explained by one at all.
 
     Where no row has a language to learn from, nothing can be recognised and all stay.
     A null or empty text has no letter and goes. Null ids and repeated rows are rows
@@ -34,14 +41,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training_rows(docs, known, FIT_ROWS).select("text", "lang"))
     if not model.languages:
         return docs.select(*COLUMNS)
-    return predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
+    known = predict(docs.select(*COLUMNS), model, with_gain=True)
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE) & (F.col("gain") >= LOSS)).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that an earlier document has; a document left without any text goes.
+    """Cut runs of lines that an earlier document has; a document left without any text goes.
 
     A document that loses nothing stays as it is, null text included, as does a row
-    with a null id. Of rows that repeat an id and its text all are cut alike. An empty
+    with a null id. Rows that repeat an id are cut each by its own text. An empty
     table gives no row; extra columns are left out.
     """
     out = line_dedup(docs.select(*COLUMNS))
@@ -52,25 +60,30 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each group of near-duplicates.
 
-    Null and empty texts, and rows with a null id, are like nothing and stay; of rows
-    that repeat an id and its text one stays. An empty table gives no row; extra
-    columns are left out.
+    Documents are rows, not ids: of rows that repeat an id only those with like
+    texts are a group, a null id comes last in its group, and among equal ids one
+    row stays. Null texts and texts without words are like nothing and stay. An
+    empty table gives no row; extra columns are left out.
     """
-    groups = near_duplicates(docs, width=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    rows = _numbered(docs, "minhash-rows")
+    parts = near_duplicates(rows.select("row", "text"), width=5, percent=80, id_col="row").select("row", "component_id")
+    named = parts.join(rows.select("row", "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stay = stored(first.select(F.col("first.row").alias("row")), "minhash-kept")
+    return rows.join(stay.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window of a benchmark item occurs.
 
-    Null and empty texts stay. Rows that share an id, a null one included, go
-    together if any of them is hit. An empty table gives no row, an empty benchmark
-    drops none; extra columns are left out.
+    Each row is judged by its own text, whatever its id. Null and empty texts stay.
+    An empty table gives no row, an empty benchmark drops none; extra columns are
+    left out.
     """
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.select(*COLUMNS).join(bad.hint("merge"), same(F.col("doc_id"), F.col("bad")), "left_anti")
+    rows = _numbered(docs, "benchmark-rows")
+    found = contamination(rows.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, id_col="row")
+    bad = stored(found.where("contaminated").select("row"), "benchmark-hits")
+    return rows.join(bad.hint("merge"), "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
