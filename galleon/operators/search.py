@@ -60,12 +60,11 @@ def packed(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, i
     return rows.select(number, *columns).groupBy(name).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in columns]), blocks
 
 
-def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: str, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None, halves: bool = False) -> DataFrame:
+def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: str, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None) -> DataFrame:
     """Apply ``keep(query ids, query vectors, item ids, item vectors, extra)`` to every pair of blocks.
 
-    ``keep`` yields tuples of arrays, the columns of ``schema``. With ``halves``,
-    where both tables are one, each two blocks meet once. Rows with a null id or
-    vector are left out; rows that repeat an id are rows of their own.
+    ``keep`` yields tuples of arrays, the columns of ``schema``. Rows with a null id
+    or vector are left out; rows that repeat an id are rows of their own.
     """
 
     def whole(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,7 +72,7 @@ def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: st
 
     own, n = packed(whole(queries, [id_col, vector_col]), "q", [id_col, vector_col])
     items, m = packed(whole(gallery, [id_col, vector_col, *([extra] if extra else [])]), "g", [id_col, vector_col, *([extra] if extra else [])])
-    items = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") if halves else F.lit(n - 1))))
+    items = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if n == 1:
         pairs = items.join(F.broadcast(own), "q")  # about BLOCK rows, whatever the tables' sizes
     else:
@@ -138,22 +137,6 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine",
     return ranked(in_blocks(queries, gallery, keep, "query_id long, item_id long, score double", id_col, vector_col), k, larger)
 
 
-def range_search(queries: DataFrame, gallery: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """All gallery rows with a cosine of at least ``least`` to a query: (query_id, item_id, score).
-
-    A row never finds its own id. Null ids or vectors and vectors of length zero find
-    and are found by nothing; an empty table gives no row.
-    """
-
-    def keep(ids, vectors, item_ids, items, _):
-        s = scores(vectors, items, "cosine")
-        s[ids[:, None] == item_ids[None, :]] = np.nan
-        row, col = np.nonzero(s >= least)
-        yield ids[row], item_ids[col], s[row, col]
-
-    return in_blocks(queries, gallery, keep, "query_id long, item_id long, score double", id_col, vector_col)
-
-
 def filtered_topk(queries: DataFrame, gallery: DataFrame, predicate, k: int, metric: str = "cosine") -> DataFrame:
     """``topk`` among the gallery rows that meet a predicate, which reaches the scan."""
     return topk(queries, gallery.where(predicate), k, metric)
@@ -178,28 +161,6 @@ def topk_per_label(queries: DataFrame, gallery: DataFrame, k: int, label_col: st
     return ranked(found, k, True, "label")
 
 
-def top_pairs(gallery: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The n closest pairs by cosine: (a_id, b_id, score) with a_id < b_id; ties go to smaller ids.
-
-    Rows that share an id make no pair with each other. Null ids or vectors and
-    vectors of length zero are in no pair; fewer than two rows give none.
-    """
-
-    def keep(ids, vectors, item_ids, items, _):
-        s = scores(vectors, items, "cosine")
-        if np.isin(ids[:1], item_ids).any():  # a block with itself: equal ids share a block
-            s[ids[:, None] >= item_ids[None, :]] = np.nan
-        flat = np.where(np.isnan(s), -np.inf, s).ravel()
-        limit = np.partition(flat, max(0, len(flat) - n))[max(0, len(flat) - n)]
-        row, col = np.divmod(np.flatnonzero((flat >= limit) & (flat > -np.inf)), len(item_ids))
-        a, b = np.minimum(ids[row], item_ids[col]), np.maximum(ids[row], item_ids[col])
-        order = np.lexsort((b, a, -s[row, col]))[:n]
-        yield a[order], b[order], s[row[order], col[order]]
-
-    found = in_blocks(gallery, gallery, keep, "a_id long, b_id long, score double", id_col, vector_col, halves=True)
-    return found.orderBy(F.col("score").desc(), "a_id", "b_id").limit(n)
-
-
 def exact_dups(gallery: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Vectors that occur more than once: (first_id, copies). Rows without a vector are left out; an empty table gives no row."""
     return gallery.where(F.col(vector_col).isNotNull()).groupBy(vector_col).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
-from galleon.operators import approximate, evaluate, expansion, search
-from galleon.sources.images import grey_images, read_images, shared_folder, write_png
+from galleon.operators import approximate, evaluate, expansion, pivots, search
+from galleon.sources.images import grey_images, read_images, write_png
+from galleon.sources.shared import shared_folder
 
 K, DEEP = 5, 10
 
@@ -35,7 +36,7 @@ def _top(metric: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gallery(spark, sf_dir)
-    return search.range_search(asked(g), g, 0.3)
+    return pivots.range_search(asked(g), g, 0.3)
 
 
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_pairs(gallery(spark, sf_dir), 100)
+    return pivots.top_pairs(gallery(spark, sf_dir), 100)
 
 
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

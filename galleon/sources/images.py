@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -49,9 +47,3 @@ def write_png(images: DataFrame, root: str, id_col: str = "vec_id") -> None:
             yield batch[["id"]]
 
     images.select(F.col(id_col).alias("id"), "image.height", "image.width", "image.data").mapInPandas(write, "id long").write.format("noop").mode("overwrite").save()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="galleon-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleon.functions import vectors
-from galleon.operators import approximate, evaluate, expansion, search
+from galleon.operators import approximate, evaluate, expansion, pivots, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 ROWS = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0], 1), (4, [2.0, 0.0], 1), (5, [0.0, 0.0], 0), (6, None, 1)]
@@ -34,10 +34,8 @@ def test_blocks_change_nothing(spark, monkeypatch):
     g = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(300)], SCHEMA)
     q = g.where("vec_id % 20 = 0")
     whole = rows(search.topk(q, g, 4), "query_id", "item_id", "rank")
-    pairs = rows(search.top_pairs(g, 20), "a_id", "b_id", "score")
     monkeypatch.setattr(search, "BLOCK", 32)
     assert rows(search.topk(q, g, 4), "query_id", "item_id", "rank") == whole
-    assert rows(search.top_pairs(g, 20), "a_id", "b_id", "score") == pairs
 
 
 def test_builtin_expressions_agree_with_the_block_scores(tiny):
@@ -48,8 +46,8 @@ def test_builtin_expressions_agree_with_the_block_scores(tiny):
 
 
 def test_range_pairs_and_duplicates(tiny):
-    assert rows(search.range_search(tiny.where("vec_id = 1"), tiny, 0.7), "item_id") == [(3,), (4,)]
-    assert rows(search.top_pairs(tiny, 1), "a_id", "b_id") == [(1, 4)]
+    assert rows(pivots.range_search(tiny.where("vec_id = 1"), tiny, 0.7), "item_id") == [(3,), (4,)]
+    assert rows(pivots.top_pairs(tiny, 1), "a_id", "b_id") == [(1, 4)]
     twice = tiny.union(tiny.where("vec_id = 1").withColumn("vec_id", F.lit(9).cast("long")))
     assert rows(search.exact_dups(twice), "first_id", "copies") == [(1, 2)]
 
@@ -58,7 +56,7 @@ def test_empty_tables(spark, tiny):
     none = spark.createDataFrame([], SCHEMA)
     assert search.topk(none, tiny, 3).count() == 0
     assert search.topk(tiny, none, 3).count() == 0
-    assert search.top_pairs(none, 3).count() == 0
+    assert pivots.top_pairs(none, 3).count() == 0
 
 
 def test_metrics_by_hand(spark):
