@@ -140,10 +140,10 @@ def blocks_of(cells: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
 
 
 def met(asked: DataFrame, items: DataFrame) -> DataFrame:
-    """Every two blocks of a cell: (q_ids, q_v, q_dist, g_ids, g_v, g_dist, own)."""
+    """Every two blocks of a cell: (q_ids, q_v, q_dist, g_ids, g_v, g_dist, own, cell)."""
     stripes = asked.join(items.groupBy("cell").agg(F.max("g_parts").alias("parts")), "cell")
     pairs = stripes.withColumn("g_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(items, ["cell", "g_part"])
-    return pairs.select("q_ids", "q_v", "q_dist", "g_ids", "g_v", "g_dist", F.lit(False).alias("own"))
+    return pairs.select("q_ids", "q_v", "q_dist", "g_ids", "g_v", "g_dist", F.lit(False).alias("own"), "cell")
 
 
 def met_itself(items: DataFrame) -> DataFrame:

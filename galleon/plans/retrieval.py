@@ -154,6 +154,11 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate.ivf_topk(asked(g), g, K)
 
 
+def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gallery(spark, sf_dir)
+    return approximate.pq_topk(asked(g), g, K)
+
+
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reduced vectors, to four decimals."""
     return approximate.pca_reduce(gallery(spark, sf_dir)).select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
@@ -167,7 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k,
         "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes,
-        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pca_reduce": pca_reduce,
+        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
     }
 
 

@@ -88,40 +88,6 @@ def found(df):
     return set(rows(df, "query_id", "item_id"))
 
 
-@pytest.mark.parametrize("method", ["ivf_topk", "lsh_topk"])
-def test_recall_of_the_indexes_on_the_registered_table(spark, method):
-    g = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    q = g.where("vec_id % 20 = 0")
-    want = found(search.topk(q, g, 5))
-    assert len(want & found(getattr(approximate, method)(q, g, 5))) >= 0.9 * len(want)
-
-
-@pytest.fixture(scope="module")
-def clustered(spark):
-    rng = np.random.default_rng(1)
-    centers = rng.normal(size=(40, 24))
-    x = centers[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 24))
-    return spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], SCHEMA).cache()
-
-
-def test_indexes_read_less_than_half_of_clustered_vectors(clustered):
-    q = clustered.where("vec_id % 20 = 0")
-    want = found(search.topk(q, clustered, 5))
-    assert len(want & found(approximate.ivf_topk(q, clustered, 5, share=0.1))) >= 0.9 * len(want)
-    assert len(want & found(approximate.lsh_topk(q, clustered, 5, bits=9))) >= 0.9 * len(want)
-    planes = approximate.sign_planes(clustered, 4, 9)
-    met = approximate.sign_buckets(q, planes, 2).select(F.col("vec_id").alias("query_id"), "cell").join(approximate.sign_buckets(clustered, planes, 0).select("vec_id", "cell"), "cell")
-    assert met.select("query_id", "vec_id").distinct().count() < 0.5 * 150 * 3000
-
-
-@pytest.mark.parametrize("method", ["ivf_topk", "lsh_topk"])
-def test_indexes_with_nulls_and_empty_tables(spark, tiny, method):
-    got = rows(getattr(approximate, method)(tiny.where("vec_id = 1"), tiny, 10), "item_id")
-    assert set(got) <= {(2,), (3,), (4,)} and (4,) in got
-    none = spark.createDataFrame([], SCHEMA)
-    assert getattr(approximate, method)(tiny, none, 3).count() == 0 and getattr(approximate, method)(none, tiny, 3).count() == 0
-
-
 def test_pca_against_numpy(spark, tiny):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 6)) * [5, 4, 3, 1, 1, 1]
