@@ -63,19 +63,31 @@ class Cells:
         np.put_along_axis(out, order, before < least, 1)
         return out & (self.sizes > 0)
 
-    def further(self, directions_: np.ndarray, score: np.ndarray, seen: np.ndarray, missed: float) -> np.ndarray:
-        """(queries, cells): the cells to look at besides ``seen``, so that ``missed`` rows above ``score`` are expected in the rest.
+    def held(self, directions_: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """(queries, cells): rows with a cosine above ``score`` that each cell can be expected to hold.
 
         The cosines of a query with the rows of a cell spread around that with
         their mean, evenly in all directions.
         """
         spread = np.sqrt(np.maximum(1 - (self.means**2).sum(1), 1e-9) / self.means.shape[1])
-        held = self.sizes * tail((score[:, None] - directions_ @ self.means.T) / spread)
-        held = np.where(seen, 0, held)
+        return self.sizes * tail((score[:, None] - directions_ @ self.means.T) / spread)
+
+    def further(self, directions_: np.ndarray, score: np.ndarray, seen: np.ndarray, k: int, missed: float) -> np.ndarray:
+        """(queries, cells): the cells to look at besides ``seen``, so that ``missed`` of the best k rows are expected in the rest.
+
+        ``score`` is that of the k-th best row so far. If the cells are expected to
+        hold more than k better rows, the score above which there are k takes its place.
+        """
+        low, high = score.astype(float), np.ones(len(score))
+        for _ in range(20):
+            middle = (low + high) / 2
+            many = self.held(directions_, middle).sum(1) > k
+            low, high = np.where(many, middle, low), np.where(many, high, middle)
+        held = np.where(seen, 0, self.held(directions_, low))
         order = np.argsort(held, 1, kind="stable")
         rest = np.cumsum(np.take_along_axis(held, order, 1), 1)
         out = np.zeros(held.shape, bool)
-        np.put_along_axis(out, order, rest > missed, 1)
+        np.put_along_axis(out, order, rest > missed * k, 1)
         return out & (held > 0)
 
 
@@ -132,7 +144,7 @@ def _in_two_steps(asked: DataFrame, cells: Cells, items: DataFrame, score: Calla
     found = stored(ranked(_best_in_blocks(met(blocks_of(first, "q"), items), score, k, counted), k, True), "found")
     last = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
     known = asked.join(last, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("least", F.lit(-1.0)).alias("score"))
-    more = _asking(known, lambda d, s: cells.further(d, s, cells.first(d, least), missed * k))
+    more = _asking(known, lambda d, s: cells.further(d, s, cells.first(d, least), k, missed))
     other = _best_in_blocks(met(blocks_of(more, "q"), items), score, k, counted)
     return ranked(found.drop("rank").union(other), k, True)
 

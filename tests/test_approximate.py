@@ -93,7 +93,9 @@ def test_expected_rows_in_cells_follow_what_is_there():
     own = (v @ cells.centres.T).argmax(1)
     cells.sizes = np.bincount(own, minlength=20)
     s = np.sort(v[:50] @ v.T, 1)[:, -30]
-    looked = cells.further(v[:50], s, np.zeros((50, 20), bool), 3.0)
+    looked = cells.further(v[:50], s, np.zeros((50, 20), bool), 30, 0.1)
     above = (v[:50] @ v.T) >= s[:, None]
     missed = (above & ~looked[np.arange(50)[:, None], own[None, :]]).sum(1).mean()
-    assert missed < 4.5
+    assert missed < 4.5 and looked.mean() < 0.9
+    low = cells.further(v[:50], np.full(50, -1.0), np.zeros((50, 20), bool), 30, 0.1)
+    assert looked.mean() <= low.mean() < 0.95
