@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
 from galleon.operators import approximate, evaluate, expansion, pivots, search
-from galleon.sources.images import grey_images, read_images, write_png
+from galleon.operators.hashes import hash_neighbours
+from galleon.sources.images import grey_images
 from galleon.sources.shared import shared_folder
+from galleon.sources.shards import from_shards, in_shards
 
 K, DEEP = 5, 10
 
@@ -115,13 +117,9 @@ def ndcg_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector written as a PNG file and read back by the image source."""
-    root = shared_folder(spark, "png")
-    write_png(grey_images(gallery(spark, sf_dir)), root)
-    found = read_images(spark, root).select("image.*")
-    return found.select(
-        F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), "height", "width", F.col("nChannels").alias("channels"), F.hex("data").alias("samples")
-    )
+    """Each vector as an image in a shard of many, read back by byte range. Files are written when the result is read."""
+    shards = in_shards(grey_images(gallery(spark, sf_dir)), shared_folder(spark, "images"))
+    return from_shards(shards).select(F.col("id").alias("vec_id"), "height", "width", "channels", F.hex("data").alias("samples"))
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +142,12 @@ def average_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("vec_id", "code", hash_distance(F.col("code"), F.lit(0).cast("long")).cast("long").alias("ones"))
 
 
+def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose average hashes differ in 20 bits or fewer from an asked one's."""
+    h = grey_images(gallery(spark, sf_dir)).select("vec_id", average_hash(F.col("image")).alias("code"))
+    return hash_neighbours(asked(h), h, 20)
+
+
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gallery(spark, sf_dir)
     return approximate.lsh_topk(asked(g), g, K)
@@ -171,7 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_vote": knn_vote, "centroids": centroids, "nearest_centroid": nearest_centroid, "query_expansion": query_expansion, "rank_fusion": rank_fusion,
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k,
-        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes,
+        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs,
         "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
     }
 
@@ -261,9 +265,15 @@ def oracle_sql() -> dict[str, str]:
         "t AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: least(x[1], x[2]))), 6) AS score FROM h AS a, h AS b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) "
         f"SELECT query_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM t) WHERE rank <= {K}"
     )
-    sql["average_hash"] = (
+    code = (
         f"WITH {_SAMPLES}, m AS (SELECT vec_id, avg(b) AS mean FROM s GROUP BY vec_id), "
         "c AS (SELECT vec_id, sum(CASE WHEN b > mean THEN CAST(1 AS HUGEINT) << CAST(pos AS HUGEINT) ELSE 0 END) AS code, count(CASE WHEN b > mean THEN 1 END) AS ones FROM s JOIN m USING (vec_id) GROUP BY vec_id) "
+    )
+    sql["hash_neighbours"] = code + (
+        "SELECT a.vec_id AS query_id, b.vec_id AS item_id, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS distance "
+        "FROM c AS a JOIN c AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 20"
+    )
+    sql["average_hash"] = code + (
         "SELECT vec_id, CAST(CASE WHEN code >= CAST(9223372036854775808 AS HUGEINT) THEN code - CAST(18446744073709551616 AS HUGEINT) ELSE code END AS BIGINT) AS code, ones FROM c"
     )
     return sql
