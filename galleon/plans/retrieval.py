@@ -6,6 +6,7 @@ Searches ask with every vector whose id is divisible by 20, against all vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import exp, factorial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
 from galleon.operators import approximate, evaluate, expansion, pivots, search
 from galleon.operators.hashes import hash_neighbours
+from galleon.operators.resampling import metric_intervals
 from galleon.sources.images import grey_images
 from galleon.sources.shared import shared_folder
 from galleon.sources.shards import from_shards, in_shards
@@ -116,6 +118,13 @@ def ndcg_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.ndcg_at_k(_judged(spark, sf_dir), K)
 
 
+def map_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean average precision with its interval, in all and for each label of the queries."""
+    g = gallery(spark, sf_dir)
+    labels = g.select(F.col("vec_id").alias("query_id"), "label")
+    return metric_intervals(evaluate.average_precision(_judged(spark, sf_dir)).join(labels, "query_id"), "average_precision", ["label"])
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as an image in a shard of many, read back by byte range. Files are written when the result is read."""
     shards = in_shards(grey_images(gallery(spark, sf_dir)), shared_folder(spark, "images"))
@@ -174,7 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "range_search": range_search, "filtered_topk": filtered_topk, "topk_per_label": topk_per_label, "top_pairs": top_pairs, "exact_dups": exact_dups,
         "knn_vote": knn_vote, "centroids": centroids, "nearest_centroid": nearest_centroid, "query_expansion": query_expansion, "rank_fusion": rank_fusion,
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
-        "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k,
+        "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k, "map_intervals": map_intervals,
         "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs,
         "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
     }
@@ -253,6 +262,16 @@ def oracle_sql() -> dict[str, str]:
     sql["average_precision"] = _JUDGED + (
         "SELECT query_id, round(coalesce(avg(p), 0), 6) AS average_precision FROM (SELECT query_id, CASE WHEN relevant = 1 THEN sum(relevant) OVER (PARTITION BY query_id ORDER BY rank) / rank END AS p FROM j) GROUP BY query_id"
     )
+    above = [sum(exp(-1) / factorial(k) for k in range(n + 1)) for n in range(11)]
+    weight = " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in above)
+    sql["map_intervals"] = _JUDGED + (
+        ", p AS (SELECT query_id, round(coalesce(avg(p), 0), 6) AS x FROM (SELECT query_id, CASE WHEN relevant = 1 THEN sum(relevant) OVER (PARTITION BY query_id ORDER BY rank) / rank END AS p FROM j) GROUP BY query_id), "
+        "u AS (SELECT label, x, draw, CAST('0x' || substr(md5(query_id || ':' || draw), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM p JOIN g ON item_id = query_id, (SELECT unnest(range(0, 201)) AS draw)), "
+        f"w AS (SELECT label, x, draw, CASE WHEN draw = 0 THEN 1 ELSE {weight} END AS w FROM u), "
+        "m AS (SELECT label, grouping(label) = 1 AS whole, draw, sum(w) AS n, round(CAST(sum(CAST(x AS DECIMAL(20,9)) * w) AS DOUBLE) / sum(w), 6) AS mean FROM w GROUP BY GROUPING SETS ((draw, label), (draw)) HAVING sum(w) > 0), "
+        "f AS (SELECT label, whole, CAST(max(CASE WHEN draw = 0 THEN n END) AS BIGINT) AS n, max(CASE WHEN draw = 0 THEN mean END) AS mean, list_sort(list(mean) FILTER (draw > 0)) AS found FROM m GROUP BY label, whole) "
+        "SELECT label, whole, n, mean, found[greatest(1, CAST(ceil(len(found) * 0.05::DOUBLE) AS INTEGER))] AS low, found[greatest(1, CAST(ceil(len(found) * 0.95::DOUBLE) AS INTEGER))] AS high FROM f WHERE len(found) > 0"
+    )
     sql["mrr"] = _JUDGED + "SELECT round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(CASE WHEN relevant = 1 THEN rank END) AS f FROM j GROUP BY query_id)"
     sql["ndcg_at_k"] = _JUDGED + (
         f"SELECT query_id, CASE WHEN n_relevant > 0 THEN round(sum(relevant * ln(2) / ln(rank + 1)) / list_sum(list_transform(range(1, least(n_relevant, {K}) + 1), lambda r: ln(2) / ln(r + 1))), 6) ELSE 0.0::DOUBLE END AS ndcg "
