@@ -18,6 +18,7 @@ from galleon.operators.resampling import metric_intervals
 from galleon.sources.images import grey_images
 from galleon.sources.shared import shared_folder
 from galleon.sources.shards import from_shards, in_shards
+from galleon.streaming.search import STORE, windowed_topk
 
 K, DEEP = 5, 10
 
@@ -157,6 +158,19 @@ def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_neighbours(asked(h), h, 20)
 
 
+def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as a stream, one a second: the best of each 100 seconds for each asked one, as windows close."""
+    g = gallery(spark, sf_dir)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    stream = spark.readStream.schema(g.schema).parquet(f"{sf_dir}/embeddings.parque[t]").withColumn("ts", F.timestamp_seconds(F.col("vec_id") + 1))
+    found = windowed_topk(asked(g), stream, K, 100)
+    path = shared_folder(spark, "stream")
+    run = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{path}/rows")
+    return rows.select(F.unix_seconds("window_start").alias("window_start"), "query_id", "item_id", "score", "rank")
+
+
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gallery(spark, sf_dir)
     return approximate.lsh_topk(asked(g), g, K)
@@ -184,7 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_vote": knn_vote, "centroids": centroids, "nearest_centroid": nearest_centroid, "query_expansion": query_expansion, "rank_fusion": rank_fusion,
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k, "map_intervals": map_intervals,
-        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs,
+        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs, "stream_topk": stream_topk,
         "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
     }
 
@@ -224,6 +238,11 @@ _SAMPLES = f"s AS (SELECT vec_id, pos, {_BYTE} AS b FROM (SELECT vec_id, unnest(
 def oracle_sql() -> dict[str, str]:
     sql = {f"{m}_topk": _topk_sql(m) for m in _SCORE}
     sql["range_search"] = f"WITH {_G}, {_ranked('cosine', 'r')} SELECT query_id, item_id, score FROM r_s WHERE score >= 0.3"
+    sql["stream_topk"] = (
+        f"WITH {_G}, {_ranked('cosine', 'r')}, w AS (SELECT *, (item_id + 1) // 100 * 100 AS window_start FROM r_s), "
+        "t AS (SELECT *, CAST(row_number() OVER (PARTITION BY window_start, query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM w) "
+        f"SELECT window_start, query_id, item_id, score, rank FROM t WHERE rank <= {K} AND window_start + 100 <= (SELECT max(item_id) + 1 FROM g)"
+    )
     sql["filtered_topk"] = _topk_sql("cosine", "g.label < 5")
     sql["topk_per_label"] = (
         f"WITH {_G}, {_ranked('cosine', 'r')} SELECT query_id, label, item_id, score, rank FROM "
