@@ -36,11 +36,15 @@ def small_batches(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests, a laptop) a temporary folder
-    takes its place for the life of the session.
+    Where ``spark.checkpoint.dir`` is unset, a master on this machine alone (tests,
+    a laptop) gets a temporary folder for the life of the session; on a cluster it
+    is an error, as executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="galleon-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
