@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
+from galleon.functions.tiles import image_tiles
 from galleon.operators import approximate, evaluate, expansion, pivots, search
 from galleon.operators.hashes import hash_neighbours
 from galleon.operators.resampling import metric_intervals
+from galleon.operators.words import visual_words, weighted, word_search
 from galleon.sources.images import grey_images
-from galleon.sources.shared import shared_folder
+from galleon.sources.shared import shared_folder, stored
 from galleon.sources.shards import from_shards, in_shards
 from galleon.streaming.search import STORE, windowed_topk
 
@@ -158,6 +160,19 @@ def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_neighbours(asked(h), h, 20)
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of 4 x 4 samples of each image and of its half-size copy."""
+    return image_tiles(grey_images(gallery(spark, sf_dir))).select("vec_id", "level", "top", "left", F.hex("samples").alias("samples"))
+
+
+def word_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by visual words. The vocabulary is the middle tile of the 64 images with the smallest ids, numbered by id."""
+    t = image_tiles(grey_images(gallery(spark, sf_dir)))
+    middle = t.where("level = 0 AND top = 2 AND left = 2").orderBy("vec_id").limit(64)
+    index = stored(weighted(visual_words(t, middle.select(F.col("vec_id").cast("int").alias("word"), "samples"))), "words")
+    return word_search(asked(index), index, K)
+
+
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors as a stream, one a second: the best of each 100 seconds for each asked one, as windows close."""
     g = gallery(spark, sf_dir)
@@ -198,7 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_vote": knn_vote, "centroids": centroids, "nearest_centroid": nearest_centroid, "query_expansion": query_expansion, "rank_fusion": rank_fusion,
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k, "map_intervals": map_intervals,
-        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs, "stream_topk": stream_topk,
+        "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs, "stream_topk": stream_topk, "image_tiles": tiles, "word_topk": word_topk,
         "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
     }
 
@@ -311,6 +326,21 @@ def oracle_sql() -> dict[str, str]:
         "SELECT a.vec_id AS query_id, b.vec_id AS item_id, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS distance "
         "FROM c AS a JOIN c AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 20"
     )
+    tile = (
+        f"WITH {_SAMPLES}, a AS (SELECT vec_id, 0 AS level, pos // 8 AS y, pos % 8 AS x, b FROM s UNION ALL SELECT vec_id, 1, pos // 16, pos % 8 // 2, CAST(sum(b) // 4 AS INTEGER) FROM s GROUP BY vec_id, pos // 16, pos % 8 // 2), "
+        "p AS (SELECT level, top, lft FROM (SELECT unnest([0, 0, 0, 0, 0, 0, 0, 0, 0, 1]) AS level, unnest([0, 0, 0, 2, 2, 2, 4, 4, 4, 0]) AS top, unnest([0, 2, 4, 0, 2, 4, 0, 2, 4, 0]) AS lft)), "
+        "t AS (SELECT vec_id, p.level, p.top, p.lft, list(b ORDER BY y, x) AS v FROM a JOIN p ON a.level = p.level AND y BETWEEN top AND top + 3 AND x BETWEEN lft AND lft + 3 GROUP BY ALL)"
+    )
+    sql["image_tiles"] = tile + " SELECT vec_id, level, top, lft AS \"left\", array_to_string(list_transform(v, lambda b: printf('%02X', b)), '') AS samples FROM t"
+    sql["word_topk"] = tile + (
+        ", voc AS (SELECT vec_id AS word, v FROM t WHERE level = 0 AND top = 2 AND lft = 2 ORDER BY vec_id LIMIT 64), "
+        "near AS (SELECT t.vec_id, t.level, t.top, t.lft, arg_min(word, list_sum(list_transform(list_zip(t.v, voc.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 1000000 + word) AS word FROM t, voc GROUP BY ALL), "
+        "tf AS (SELECT vec_id, word, count(*) AS tf FROM near GROUP BY ALL), n AS (SELECT count(DISTINCT vec_id) AS n FROM tf), "
+        "df AS (SELECT word, ln(n / count(*)) AS idf FROM tf, n GROUP BY word, n HAVING ln(n / count(*)) > 0), "
+        "raw AS (SELECT vec_id, word, tf * idf AS x FROM tf JOIN df USING (word)), w AS (SELECT vec_id, word, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS weight FROM raw), "
+        "r AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(sum(a.weight * b.weight), 6) AS score FROM w AS a JOIN w AS b USING (word) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL) "
+        f"SELECT query_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM r) WHERE rank <= {K}"
+    )
     sql["average_hash"] = code + (
         "SELECT vec_id, CAST(CASE WHEN code >= CAST(9223372036854775808 AS HUGEINT) THEN code - CAST(18446744073709551616 AS HUGEINT) ELSE code END AS BIGINT) AS code, ones FROM c"
     )

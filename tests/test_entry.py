@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-PLAIN = ["cosine_topk", "hamming_topk", "top_pairs", "average_precision", "centroids", "read_images", "average_hash", "hash_neighbours", "range_search", "map_intervals", "stream_topk"]
+PLAIN = ["cosine_topk", "hamming_topk", "top_pairs", "average_precision", "centroids", "read_images", "average_hash", "hash_neighbours", "range_search", "map_intervals", "stream_topk", "image_tiles", "word_topk"]
 
 
 @pytest.mark.parametrize("name", PLAIN)
