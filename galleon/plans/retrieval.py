@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
 from galleon.functions.tiles import image_tiles
-from galleon.operators import approximate, evaluate, expansion, pivots, search
+from galleon.operators import approximate, descent, evaluate, expansion, pivots, search
 from galleon.operators.hashes import hash_neighbours
 from galleon.operators.resampling import metric_intervals
 from galleon.operators.words import visual_words, weighted, word_search
@@ -201,6 +201,11 @@ def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate.pq_topk(asked(g), g, K)
 
 
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every vector, by descent."""
+    return descent.knn_graph(gallery(spark, sf_dir), K)
+
+
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reduced vectors, to four decimals."""
     return approximate.pca_reduce(gallery(spark, sf_dir)).select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
@@ -214,7 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k, "map_intervals": map_intervals,
         "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs, "stream_topk": stream_topk, "image_tiles": tiles, "word_topk": word_topk,
-        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "pca_reduce": pca_reduce,
+        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "knn_graph": knn_graph, "pca_reduce": pca_reduce,
     }
 
 
