@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ class OpenBins:
 
     def __init__(self, size: int, limit: int):
         self.size, self.limit = size, limit
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.free: list[list[int]] = [[] for _ in range(size + 1)]
 
     def put(self, need: int) -> tuple[int, int]:
@@ -110,6 +111,7 @@ class OpenBins:
         else:
             if self.open >= self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             bin_id, space, self.made = self.made, self.size, self.made + 1
         left = space - need
         if left:
@@ -127,15 +129,35 @@ class OpenBins:
         return bin_id
 
 
-def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 1 << 16, pieces_per_task: int = 125_000, id_col: str = "doc_id") -> DataFrame:
+def _waves(batches: Iterator[pa.RecordBatch], wave: int) -> Iterator[pa.RecordBatch]:
+    """Rows as they arrive, ``wave`` at a time, from long to short; equal lengths stay as they came."""
+
+    def fallen(held: pa.Table) -> pa.RecordBatch:
+        return held.take(pa.array(np.argsort(-held.column("length").to_numpy(), kind="stable"))).combine_chunks().to_batches()[0]
+
+    held = None
+    for batch in batches:
+        held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held else pa.Table.from_batches([batch])
+        while held.num_rows >= wave:
+            yield fallen(held.slice(0, wave))
+            held = held.slice(wave)
+    if held is not None and held.num_rows:
+        yield fallen(held)
+
+
+def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 1024, wave: int = 4096, pieces_per_task: int = 125_000, id_col: str = "doc_id", closings: Accumulator | None = None) -> DataFrame:
     """Add (sequence_id, offset) to pieces, none longer than ``length``.
 
-    The pieces are dealt by hash over tasks of about ``pieces_per_task``, each of
-    which packs its own from long to short, ties in a fixed pseudo-random order,
-    so a task that runs again gives the same sequences. More pieces make more
-    tasks, never larger ones. ``open_bins`` has to be near a task's number of long
-    pieces: with fewer, bins close before the short pieces come that would fill
-    them. A task leaves at most ``open_bins`` unfilled sequences.
+    The pieces are dealt by hash over tasks of about ``pieces_per_task``, in a fixed
+    pseudo-random order, so a task that runs again gives the same sequences. More
+    pieces make more tasks, never larger ones. A task packs them as they arrive, in
+    waves: it looks ``wave`` pieces ahead and places these from long to short. Bins
+    stay open from wave to wave, at most ``open_bins`` of them: the fullest closes
+    when one more is needed, so a task holds that many bins and pieces, however
+    long its input. A wave needs as many open bins as it has pieces above half a
+    sequence that do not fill one, less what the short ones of earlier waves left;
+    with fewer, bins close before the short pieces come that would fill them.
+    ``closings`` counts the bins that close.
     """
     spark = pieces.sparkSession
     kept = stored(pieces, "pieces")
@@ -148,18 +170,20 @@ def pack(pieces: DataFrame, length: int = 2048, open_bins: int = 1 << 16, pieces
         from pyspark import TaskContext
 
         bins, base = OpenBins(length, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _waves(batches, wave):
             spots = [bins.put(n) for n in batch.column(names.index("length")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array([base + b for b, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())],
                 [*names, "sequence_id", "offset"],
             )
+        if closings is not None:
+            closings.add(bins.closed)
 
     dealt = kept.withColumn("order", order).repartition(tasks, "order") if tasks > 1 else kept.withColumn("order", order).coalesce(1)
-    return dealt.sortWithinPartitions(F.desc("length"), "order", *names).drop("order").mapInArrow(fill, schema)
+    return dealt.sortWithinPartitions("order", *names).drop("order").mapInArrow(fill, schema)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, open_bins: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, open_bins: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, cut and pack documents; one row per piece.
 
     A null text is empty and gives one piece with the end id alone. Null ids and

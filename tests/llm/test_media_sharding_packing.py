@@ -143,6 +143,41 @@ def test_few_sequences_are_made(spark):
         assert bound <= made <= bound * 1.002 + 4
 
 
+def test_packing_against_a_plain_scan_of_open_bins(spark):
+    """Waves from long to short, the tightest open bin, the fullest closes: by lists, without a bitset."""
+    rng = np.random.default_rng(3)
+    sizes = [int(n) for n in np.minimum(100, np.exp(rng.normal(3.3, 0.9, 1500))).astype(int) + 1 if n <= 100] + [100, 100, 1]
+    rows = spark.createDataFrame([(i if i % 50 else None, n) for i, n in enumerate(sizes)], "doc_id long, length long")
+    closings = spark.sparkContext.accumulator(0)
+    found = pack(rows, 100, open_bins=40, wave=200, closings=closings).collect()
+    arrival = [r.length for r in rows.selectExpr("*", "xxhash64(doc_id, length) AS h").orderBy("h", "doc_id", "length").collect()]
+    free, made, closed, want = {}, 0, 0, []
+    for at in range(0, len(arrival), 200):
+        for n in sorted(arrival[at : at + 200], reverse=True):
+            fit = min((space for space in free.values() if space >= n), default=None)
+            if fit is None:
+                if len(free) >= 40:
+                    free.pop(next(b for b, space in reversed(free.items()) if space == min(free.values())))
+                    closed += 1
+                b, space, made = made, 100, made + 1
+            else:
+                b, space = next(b for b, space in free.items() if space == fit), fit
+            want.append((n, 100 - space))
+            free.pop(b, None)
+            if space > n:
+                free[b] = space - n
+    assert sorted((r.length, r.offset) for r in found) == sorted(want)
+    assert len({r.sequence_id for r in found}) == made and closings.value == closed > 0
+
+
+def test_the_limit_acts_and_costs_little(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(2048, np.exp(rng.normal(6.5, 0.9, 60_000))).astype(int)
+    closings = spark.sparkContext.accumulator(0)
+    made = pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, length long"), closings=closings).select("sequence_id").distinct().count()
+    assert closings.value > 0 and made <= 1.001 * -(-int(sizes.sum()) // 2048)
+
+
 def test_packing_covers_every_document(docs):
     tok = _tokenizer(default_tokenizer())
     rows = best_fit_packing(docs, length=256).collect()
