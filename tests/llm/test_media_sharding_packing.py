@@ -110,10 +110,17 @@ def test_shards_are_near_equal(spark):
 
 def test_token_ids_equal_the_tokenizer():
     tok = _tokenizer(default_tokenizer())
-    for t in ["It's THE end., ok!", "a<|endoftext|>b", "É. x,. ,., 12.5 ΑΣ. İ", "", "日本語 текст\tтаб\x1cz\x85q", "don't.,can't,.'s"]:
+    for t in ["It's THE end., ok!", "a<|endoftext|>b", "É. x,. ,., 12.5 ΑΣ. İ", "", "日本語 текст\tтаб\x1cz\x85q", "don't.,can't,.'s", "a|b | || x| |y c.", "| .", "e \u0301x \u0301| \u00a0\u2003z"]:
         assert np.frombuffer(token_bytes(t.encode(), default_tokenizer()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@given(st.text(max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_token_ids_equal_the_tokenizer_for_any_text(t):
+    tok = _tokenizer(default_tokenizer())
+    assert np.frombuffer(token_bytes(t.encode(), default_tokenizer()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 8))
 @settings(max_examples=80, deadline=None)
 def test_open_bins_never_overflow(sizes, limit):
