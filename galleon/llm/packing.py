@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from galleon.llm.common import small_batches, stored, text_or_empty, worker_store
 
-#: Words whose ids a worker keeps; the store is emptied when full.
-WORD_STORE = 400_000
+#: Words whose ids a worker keeps, about 200 bytes each; the store is emptied when full.
+WORD_STORE = 1_000_000
 _tokenizers: dict[str, object] = {}
 
 
