@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galleon.functions.images import average_hash, color_histogram, hash_distance, histogram_intersection
 from galleon.functions.tiles import image_tiles
-from galleon.operators import approximate, descent, evaluate, expansion, pivots, search
+from galleon.operators import approximate, descent, diffusion, evaluate, expansion, pivots, search
 from galleon.operators.hashes import hash_neighbours
 from galleon.operators.resampling import metric_intervals
 from galleon.operators.words import visual_words, weighted, word_search
@@ -206,6 +206,13 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.knn_graph(gallery(spark, sf_dir), K)
 
 
+def diffusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 nearest of each asked vector, ranked again by 20 rounds of diffusion over their own neighbour graph."""
+    g = gallery(spark, sf_dir)
+    found = stored(search.topk(asked(g), g, 50), "candidates")
+    return diffusion.diffuse(found, diffusion.candidate_edges(found, g, 5), K, rounds=20)
+
+
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reduced vectors, to four decimals."""
     return approximate.pca_reduce(gallery(spark, sf_dir)).select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
@@ -219,7 +226,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_norms": vector_norms, "sign_bucket": sign_bucket,
         "precision_at_k": precision_at_k, "recall_at_k": recall_at_k, "average_precision": average_precision, "mrr": mrr, "ndcg_at_k": ndcg_at_k, "map_intervals": map_intervals,
         "read_images": images, "color_histogram": histograms, "histogram_intersection": histogram_topk, "average_hash": average_hashes, "hash_neighbours": hash_pairs, "stream_topk": stream_topk, "image_tiles": tiles, "word_topk": word_topk,
-        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "knn_graph": knn_graph, "pca_reduce": pca_reduce,
+        "lsh_topk": lsh_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk, "knn_graph": knn_graph, "diffusion_topk": diffusion_topk, "pca_reduce": pca_reduce,
     }
 
 
@@ -346,6 +353,19 @@ def oracle_sql() -> dict[str, str]:
         "r AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(sum(a.weight * b.weight), 6) AS score FROM w AS a JOIN w AS b USING (word) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL) "
         f"SELECT query_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM r) WHERE rank <= {K}"
     )
+    sql["diffusion_topk"] = (
+        f"WITH RECURSIVE {_G}, {_ranked('cosine', 'r')}, c AS (SELECT query_id, item_id, score FROM r WHERE rank <= 50), "
+        "p AS (SELECT x.query_id, x.item_id AS a, y.item_id AS b, round(list_cosine_similarity(gx.v, gy.v), 6) AS w FROM c AS x JOIN c AS y ON x.query_id = y.query_id AND x.item_id <> y.item_id JOIN g AS gx ON gx.item_id = x.item_id JOIN g AS gy ON gy.item_id = y.item_id), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY query_id, a ORDER BY w DESC, b) AS n FROM p WHERE w > 0), "
+        "e AS (SELECT query_id, least(a, b) AS lo, greatest(a, b) AS hi, max(w) AS w FROM n WHERE n <= 5 GROUP BY ALL), "
+        "u AS (SELECT query_id, lo AS a, hi AS b, w FROM e UNION ALL SELECT query_id, hi, lo, w FROM e), d AS (SELECT query_id, a, sum(w) AS d FROM u GROUP BY ALL), "
+        "m AS (SELECT u.query_id, u.a, u.b, u.w / sqrt(x.d * y.d) AS w FROM u JOIN d AS x ON x.query_id = u.query_id AND x.a = u.a JOIN d AS y ON y.query_id = u.query_id AND y.a = u.b UNION ALL SELECT query_id, item_id, item_id, 0 FROM c), "
+        "f AS (SELECT 0 AS step, query_id, item_id, greatest(score, 0) AS x FROM c UNION ALL "
+        "SELECT f.step + 1, m.query_id, m.a, 0.9::DOUBLE * sum(m.w * f.x) + 0.1::DOUBLE * greatest(any_value(c.score), 0) FROM f JOIN m ON m.query_id = f.query_id AND m.b = f.item_id "
+        "JOIN c ON c.query_id = m.query_id AND c.item_id = m.a WHERE f.step < 20 GROUP BY f.step, m.query_id, m.a), "
+        "t AS (SELECT query_id, item_id, round(x, 6) AS score FROM f WHERE step = 20) "
+        f"SELECT query_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM t) WHERE rank <= {K}"
+    )
     sql["average_hash"] = code + (
         "SELECT vec_id, CAST(CASE WHEN code >= CAST(9223372036854775808 AS HUGEINT) THEN code - CAST(18446744073709551616 AS HUGEINT) ELSE code END AS BIGINT) AS code, ones FROM c"
     )
