@@ -19,7 +19,11 @@ def knn_vote(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 
 
 def centroids(gallery: DataFrame) -> DataFrame:
-    """Mean vector of each label, one row a place: (label, pos, mean), to six decimals."""
+    """Mean vector of each label, one row a place: (label, pos, mean), to six decimals.
+
+    Null and empty vectors add nothing, a null component is left out of its mean, a null
+    label is a label of its own, repeated rows count each, an empty table gives no row.
+    """
     return gallery.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
@@ -62,10 +66,15 @@ def rank_fusion(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFr
 
 
 def vector_norms(gallery: DataFrame) -> DataFrame:
+    """(vec_id, norm) of every row, to six decimals: null for a null vector or one with a null component, 0 for an empty one."""
     return gallery.select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
 def sign_bucket(gallery: DataFrame, bits: int) -> DataFrame:
-    """Rows by the signs of their first ``bits`` places: (bucket, n, first_id)."""
+    """Rows by the signs of their first ``bits`` places: (bucket, n, first_id).
+
+    Null vectors are left out; a component that is null, zero or missing gives a bit of 0;
+    a null id counts in n but is never the first, unless it is alone (null then).
+    """
     code: Column = sign_code(F.col("embedding"), bits)
     return gallery.where(F.col("embedding").isNotNull()).groupBy(code.alias("bucket")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
