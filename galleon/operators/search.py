@@ -24,7 +24,7 @@ BLOCK = 2048
 STRIPE = 8
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
+def rounded(x: np.ndarray) -> np.ndarray:
     """Six decimals, halves away from zero."""
     return np.trunc(x * 1e6 + np.copysign(0.5, x)) / 1e6
 
@@ -50,7 +50,7 @@ METRICS: dict[str, tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], bool]]
 
 def scores(queries: np.ndarray, gallery: np.ndarray, metric: str) -> np.ndarray:
     """Scores to six decimals, so that equal ones tie everywhere; NaN (a vector of length zero) stays."""
-    return _rounded(METRICS[metric][0](queries, gallery))
+    return rounded(METRICS[metric][0](queries, gallery))
 
 
 def packed(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, int]:

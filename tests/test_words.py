@@ -95,3 +95,17 @@ def test_few_images_and_empty_tables(spark):
     none = index.limit(0)
     assert word_search(none, index, 5).count() == 0 and word_search(index, none, 5).count() == 0
     assert weighted(spark.createDataFrame([], "vec_id long, word int")).agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("dense", [0, 16])
+def test_alike_images_in_many_groups_make_no_table_of_pairs(spark, monkeypatch, dense):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(64)) for i in range(400) for _ in range(10)]
+    made = []
+    monkeypatch.setattr(words, "stored", lambda df, name, f=words.stored: (out := f(df, name), made.append(out.count()))[0])
+    index = weighted(spark.createDataFrame(rows, "vec_id long, word int"))
+    for name, value in (("STRIPE", 100), ("ASKED", 40), ("DENSE", dense), ("WAITING", 500)):
+        monkeypatch.setattr(words, name, value, raising=False)
+    found = word_search(index.where("vec_id % 4 = 0"), index, 5)
+    assert [r[:2] + r[3:] for r in sorted(map(tuple, found.collect()))] == [r[:2] + r[3:] for r in plain_search(plain_weights(rows), range(0, 400, 4), 5)]
+    assert max(made) <= len(rows)  # there are 40,000 pairs, nearly all with a word in common
