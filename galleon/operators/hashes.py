@@ -5,11 +5,19 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleon.sources.shared import stored
+
 #: Keys of a query in each part at most, where the number of parts is chosen here.
 KEYS = 256
+#: Share of all pairs that keys bring together, beyond which every two codes are compared in blocks: a row of a join costs that much more.
+WIDE = 0.05
+#: Codes of a block asked for, and held, about; tasks at most that they meet in.
+ASKED, HELD, TASKS = 16_384, 65_536, 1024
 
 
 def parts_for(radius: int) -> int:
@@ -17,6 +25,12 @@ def parts_for(radius: int) -> int:
     return next((p for p in (1, 2, 4, 8) if sum(comb(64 // p, m) for m in range(min(radius // p, 64 // p) + 1)) <= KEYS), 8)
 
 
+def share(radius: int, parts: int) -> float:
+    """Of all pairs of random codes, how many their keys bring together, each part's counted."""
+    bits = 64 // parts
+    return parts * sum(comb(bits, m) for m in range(min(radius // parts, bits) + 1)) / 2.0**bits
+
+
 def part_of(code: Column, part: int, parts: int) -> Column:
     """Bits ``part * 64 / parts`` and on of a code, as a long."""
     bits = 64 // parts
@@ -47,10 +61,41 @@ def near_codes(asked: DataFrame, held: DataFrame, radius: int, parts: int | None
     return found.select("a", "b", F.bit_count(differs).cast("int").alias("distance"))
 
 
+def near_codes_in_blocks(asked: DataFrame, held: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``near_codes``, where keys would bring most pairs together: every two codes are compared, in blocks.
+
+    Codes are dealt by hash. A block of each side meets in one task, as bits side by side, and only
+    pairs within ``radius`` are rows.
+    """
+
+    def dealt(df: DataFrame, code: str, block: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        return df.select(code, F.pmod(F.xxhash64(code), F.lit(n)).cast("int").alias(f"{code}_block")), n
+
+    (a, n), (b, m) = dealt(asked, "a", ASKED), dealt(held, "b", HELD)
+    tasks = min(n * m, TASKS)
+    a = a.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(tasks, "a_block", "b_block")
+    b = b.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(tasks, "a_block", "b_block")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (np.sort(t.column(c).to_numpy()) for t, c in ((left, "a"), (right, "b")))
+        found = [(x[:0], y[:0], np.zeros(0, np.int32))]
+        rows = max(1, (1 << 20) // max(1, len(y)))
+        for low in range(0, len(x) if len(y) else 0, rows):
+            distance = np.bitwise_count((x[low : low + rows, None] ^ y[None, :]).view(np.uint64))  # of a signed number it would count the absolute value
+            i, j = np.nonzero(distance <= radius)
+            found.append((x[low + i], y[j], distance[i, j].astype(np.int32)))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "distance"])
+
+    return a.groupBy("a_block", "b_block").cogroup(b.groupBy("a_block", "b_block")).applyInArrow(compare, "a long, b long, distance int")
+
+
 def hash_neighbours(queries: DataFrame, gallery: DataFrame, radius: int, parts: int | None = None, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
     """All gallery rows whose code differs from a query's in ``radius`` bits or fewer: (query_id, item_id, distance).
 
-    Rows with equal codes are looked up once, by ``near_codes``. A row never finds its
+    Rows with equal codes are looked up once, by ``near_codes``, or, where ``parts`` is not given and
+    the radius is so wide that keys bring more than ``WIDE`` of all pairs together, by
+    ``near_codes_in_blocks``. A row never finds its
     own id. Null ids and codes are left out, rows that repeat an id are rows of their
     own, and an empty table gives no row.
     """
@@ -58,5 +103,9 @@ def hash_neighbours(queries: DataFrame, gallery: DataFrame, radius: int, parts:
         return df.select(F.col(id_col).alias(name), F.col(code_col).cast("long").alias(code)).dropna()
 
     asked, held = known(queries, "query_id", "a"), known(gallery, "item_id", "b")
-    near = near_codes(asked.select("a").distinct(), held.select("b").distinct(), radius, parts)
+    # Stored: a code is looked up and joined again, and made once.
+    asked, held = stored(asked, "asked"), stored(held, "held")
+    own, other = asked.select("a").distinct(), held.select("b").distinct()
+    wide = parts is None and share(radius, parts_for(radius)) > WIDE
+    near = near_codes_in_blocks(own, other, radius) if wide else near_codes(own, other, radius, parts)
     return near.join(asked, "a").join(held, "b").where("query_id <> item_id").select("query_id", "item_id", "distance")

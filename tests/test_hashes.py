@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from galleon.operators import hashes
 from galleon.operators.hashes import KEYS, hash_neighbours, near_codes, parts_for
 
 SCHEMA = "vec_id long, code long, distance string, a int, b int, part string"
@@ -60,3 +61,14 @@ def test_few_candidates_are_compared(spark):
     assert found.count() == 200 and parts_for(7) == 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_wide_radius_joins_no_pair_by_its_keys(spark, monkeypatch):
+    assert hashes.share(20, parts_for(20)) > hashes.WIDE > hashes.share(7, parts_for(7))
+    monkeypatch.setattr(hashes, "ASKED", 50)
+    monkeypatch.setattr(hashes, "HELD", 90)
+    rows = codes(300, 4)
+    found = hash_neighbours(frame(spark, rows[::3]), frame(spark, rows), 20)
+    assert sorted(tuple(r) for r in found.collect()) == near(rows[::3], rows, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "part" not in plan.replace("partition", "")
