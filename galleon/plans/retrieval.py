@@ -180,7 +180,7 @@ def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(g.schema).parquet(f"{sf_dir}/embeddings.parque[t]").withColumn("ts", F.timestamp_seconds(F.col("vec_id") + 1))
     found = windowed_topk(asked(g), stream, K, 100)
     path = shared_folder(spark, "stream")
-    run = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run = found.writeStream.format("parquet").option("compression", "zstd").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{path}/rows")
     return rows.select(F.unix_seconds("window_start").alias("window_start"), "query_id", "item_id", "score", "rank")

@@ -90,12 +90,12 @@ class BestInWindows(StatefulProcessor):
         pass
 
 
-def windowed_topk(queries: DataFrame, items: DataFrame, k: int, window_seconds: int, late_seconds: int = 0, metric: str = "cosine", block: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", time_col: str = "ts") -> DataFrame:
+def windowed_topk(queries: DataFrame, items: DataFrame, k: int, window_seconds: int, late_seconds: int = 0, metric: str = "cosine", block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", time_col: str = "ts") -> DataFrame:
     """The k streamed rows of each window nearest to each standing query: (window_start, query_id, item_id, score, rank).
 
     ``items`` is a stream with an event time. Queries are dealt by hash into blocks of
     about ``block``; a block's vectors are its first state, and each streamed row goes
-    once to each block. A window's state is k rows for each query, however many rows it
+    once to each block, in its own type: what is shuffled are the rows times the blocks, so blocks are large. A window's state is k rows for each query, however many rows it
     gets, and in whatever order. When the watermark, ``late_seconds`` behind the latest
     row, passes its end, its ranking is handed out once (output mode append) and the
     state is dropped; rows that come later are too late. The state survives a restart
@@ -106,11 +106,11 @@ def windowed_topk(queries: DataFrame, items: DataFrame, k: int, window_seconds:
     never finds its own id; ties go to the smaller item; of rows that repeat an id each
     counts; a window without rows gives none.
     """
-    known = queries.select(F.col(id_col).cast("long").alias("item_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).dropna()
+    known = queries.select(F.col(id_col).cast("long").alias("item_id"), F.col(vector_col).alias("v")).dropna()
     blocks = max(1, -(-known.count() // block))
     held = known.withColumn("q", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     rows = items.withWatermark(time_col, f"{late_seconds} seconds").select(
-        F.col(id_col).cast("long").alias("item_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.col(time_col), F.unix_millis(time_col).alias("ms")
+        F.col(id_col).cast("long").alias("item_id"), F.col(vector_col).alias("v"), F.col(time_col), F.unix_millis(time_col).alias("ms")
     )
     sent = rows.dropna().withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     best = BestInWindows(k, metric, 1000 * window_seconds)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,3 +87,10 @@ def test_rows_behind_the_watermark_are_too_late(spark, tmp_path):
         write(spark, some, folder, name)
         run(spark, queries, f"{folder}/*", tmp_path)
     assert result(spark, tmp_path) == batch(spark, queries, early, 60)
+
+
+def test_a_row_is_sent_to_few_blocks_in_its_own_type(spark, tmp_path):
+    write(spark, rows(900, 60), str(tmp_path / "in"), "a")
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in") + "/*")
+    plan = windowed_topk(frame(spark, rows(900, 60)), stream, 3, 10)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"explode\(sequence\(0, 0[,)]", plan) and "transform(" not in plan
