@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 #: Gallery blocks in a stripe.
 STRIPE = 8
+#: Scores that a task holds at once, about.
+SCORES = 1 << 19
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -60,8 +62,15 @@ def packed(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, i
     return rows.select(number, *columns).groupBy(name).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in columns]), blocks
 
 
+def slices(rows: int, columns: int) -> Iterator[slice]:
+    """Parts of the rows of a matrix with ``SCORES`` scores at most, and one row at least: its copies while it is ranked take a task's memory."""
+    step = max(1, SCORES // max(1, columns))
+    return (slice(low, min(low + step, rows)) for low in range(0, rows, step))
+
+
 def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: str, id_col: str = "vec_id", vector_col: str = "embedding", extra: str | None = None) -> DataFrame:
-    """Apply ``keep(query ids, query vectors, item ids, item vectors, extra)`` to every pair of blocks.
+    """Apply ``keep(query ids, query vectors, item ids, item vectors, extra)`` to every pair of blocks,
+    some queries at a time.
 
     ``keep`` yields tuples of arrays, the columns of ``schema``. Rows with a null id
     or vector are left out; rows that repeat an id are rows of their own.
@@ -90,8 +99,9 @@ def in_blocks(queries: DataFrame, gallery: DataFrame, keep: Callable, schema: st
                 ids, item_ids = flat(batch.column(0), row), flat(batch.column(2), row)
                 vectors, items = (np.array(batch.column(c)[row].values.flatten(), np.float64).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(item_ids))))
                 other = flat(batch.column(4), row) if extra else None
-                for cols in keep(ids, vectors, item_ids, items, other):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                kept = [cols for part in slices(len(ids), len(item_ids)) for cols in keep(ids[part], vectors[part], item_ids, items, other)]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names)
 
     columns = [f"q_{id_col}", f"q_{vector_col}", f"g_{id_col}", f"g_{vector_col}", *([f"g_{extra}"] if extra else [])]
     return pairs.select(*columns).mapInArrow(score, schema)

@@ -120,3 +120,14 @@ def test_no_task_gets_the_whole_gallery(spark, monkeypatch):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_a_task_scores_some_queries_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 10_000)
+    rows = spark.range(3000).selectExpr("id AS vec_id", "array(float(id), float(1)) AS embedding")
+
+    def keep(ids, vectors, item_ids, items, _):
+        yield np.array([len(ids) * len(item_ids)]), np.array([len(ids)])
+
+    found = [tuple(r) for r in search.in_blocks(rows.where("vec_id < 400"), rows, keep, "n long, queries long").collect()]
+    assert max(n for n, _ in found) <= search.SCORES and sum(n for _, n in found) == 400
