@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from galleon.functions.vectors import cosine
 from galleon.operators.pivots import blocks_of, directions, in_cells, met, sampled, spread_out, usable, vectors_of
-from galleon.operators.search import best, ranked, scores
+from galleon.operators.search import best, ranked, scores, slices
 from galleon.sources.shared import stored
 
 #: Cells at most: their means are held by every task.
 MOST_CELLS = 4096
+#: A query that is sent to a cell takes the memory of so many scores, about.
+SENT = 16
 FOUND = "query_id long, item_id long, score double"
 
 
@@ -102,21 +104,25 @@ def fit_cells(rows: DataFrame, count: int | None, fit_rows: int) -> tuple[Cells,
     return cells, placed, sample
 
 
-def _asking(asked: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``asked`` (id, v, score), once for each cell that ``choose(directions, scores)`` names: (id, v, cell, dist)."""
+def _asking(asked: DataFrame, cells: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``asked`` (id, v, score), once for each of the ``cells`` that ``choose(directions, scores)`` names: (id, v, cell, dist).
+
+    A query can go to most cells, so some are sent at a time.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                row, cell = np.nonzero(choose(directions(vectors_of(batch.column(1))), np.array(batch.column(2))))
+            for some in slices(batch.num_rows, SENT * cells):
+                ids, v, score = (batch.column(c).slice(some.start, some.stop - some.start) for c in range(3))
+                row, cell = np.nonzero(choose(directions(vectors_of(v)), np.array(score)))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32)), pa.array(np.zeros(len(row)))], ["id", "v", "cell", "dist"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), v.take(at), pa.array(cell.astype(np.int32)), pa.array(np.zeros(len(row)))], ["id", "v", "cell", "dist"])
 
     return asked.select("id", "v", "score").mapInArrow(send, f"id {dict(asked.dtypes)['id']}, v {dict(asked.dtypes)['v']}, cell int, dist double")
 
 
 def _best_in_blocks(pairs: DataFrame, score: Callable, k: int, counted: Accumulator | None) -> DataFrame:
-    """The best k of each query in each pair of blocks of ``met``, by ``score(query vectors, item column, cell)``."""
+    """The best k of each query in each pair of blocks of ``met``, by ``score(item column, cell)(query vectors)``."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -125,9 +131,11 @@ def _best_in_blocks(pairs: DataFrame, score: Callable, k: int, counted: Accumula
                 ids, item_ids = (np.array(batch.column(c)[row].values) for c in (0, 3))
                 q = np.array(batch.column(1)[row].values.flatten(), np.float64).reshape(len(ids), -1)
                 n += len(ids) * len(item_ids)
-                s = score(q, batch.column(4)[row].values, batch.column(5)[row].as_py())
-                s[ids[:, None] == item_ids[None, :]] = np.nan
-                found = [(np.full(len(p), ids[i]), item_ids[p], s[i, p]) for i, p in best(s, item_ids, k, True)]
+                scored, found = score(batch.column(4)[row].values, batch.column(5)[row].as_py()), []
+                for part in slices(len(ids), len(item_ids)):
+                    s = scored(q[part])
+                    s[ids[part][:, None] == item_ids[None, :]] = np.nan
+                    found += [(np.full(len(p), ids[part][i]), item_ids[p], s[i, p]) for i, p in best(s, item_ids, k, True)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "item_id", "score"])
         if counted is not None:
@@ -140,11 +148,11 @@ def _best_in_blocks(pairs: DataFrame, score: Callable, k: int, counted: Accumula
 def _in_two_steps(asked: DataFrame, cells: Cells, items: DataFrame, score: Callable, k: int, missed: float, counted: Accumulator | None) -> DataFrame:
     """The best k of each query: among its first cells, then in those that can hold a better row than the last of these."""
     least = 4 * k
-    first = _asking(asked.withColumn("score", F.lit(-1.0)), lambda d, _: cells.first(d, least))
+    first = _asking(asked.withColumn("score", F.lit(-1.0)), len(cells.means), lambda d, _: cells.first(d, least))
     found = stored(ranked(_best_in_blocks(met(blocks_of(first, "q"), items), score, k, counted), k, True), "found")
     last = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
     known = asked.join(last, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("least", F.lit(-1.0)).alias("score"))
-    more = _asking(known, lambda d, s: cells.further(d, s, cells.first(d, least), k, missed))
+    more = _asking(known, len(cells.means), lambda d, s: cells.further(d, s, cells.first(d, least), k, missed))
     other = _best_in_blocks(met(blocks_of(more, "q"), items), score, k, counted)
     return ranked(found.drop("rank").union(other), k, True)
 
@@ -169,8 +177,9 @@ def ivf_topk(queries: DataFrame, gallery: DataFrame, k: int, cells: int | None =
     index, placed, _ = fit_cells(rows, cells, fit_rows)
     items = stored(blocks_of(placed, "g"), "blocks")
 
-    def score(q: np.ndarray, vectors: pa.Array, cell: int) -> np.ndarray:
-        return scores(q, vectors_of(vectors), "cosine")
+    def score(vectors: pa.Array, cell: int) -> Callable[[np.ndarray], np.ndarray]:
+        held = vectors_of(vectors)
+        return lambda q: scores(q, held, "cosine")
 
     return _in_two_steps(asked, index, items, score, k, missed, counted)
 
@@ -229,8 +238,9 @@ def pq_topk(queries: DataFrame, gallery: DataFrame, k: int, cells: int | None =
     coded = placed.select("id", "v", "cell", "dist").mapInArrow(code, f"id {dict(rows.dtypes)['id']}, cell int, dist double, v binary")
     items = stored(blocks_of(stored(coded, "codes"), "g"), "blocks")
 
-    def score(q: np.ndarray, codes: pa.Array, cell: int) -> np.ndarray:
-        return coder.scores(q, np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1), cell)
+    def score(codes: pa.Array, cell: int) -> Callable[[np.ndarray], np.ndarray]:
+        held = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+        return lambda q: coder.scores(q, held, cell)
 
     near = _in_two_steps(asked, index, items, score, rerank * k, missed, counted).select("query_id", "item_id").distinct()
     both = stored(near, "near").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id").join(rows.select(F.col("id").alias("item_id"), F.col("v").alias("b")), "item_id")

@@ -99,3 +99,20 @@ def test_expected_rows_in_cells_follow_what_is_there():
     assert missed < 4.5 and looked.mean() < 0.9
     low = cells.further(v[:50], np.full(50, -1.0), np.zeros((50, 20), bool), 30, 0.1)
     assert looked.mean() <= low.mean() < 0.95
+
+
+def test_blocks_of_a_cell_are_scored_some_queries_at_a_time(spark):
+    lists = "array_repeat(array(float(1)), {n}) AS {s}_v"
+    pairs = spark.range(1).selectExpr("sequence(0L, 399L) AS q_ids", lists.format(n=400, s="q"), "0 AS q_dist", "sequence(0L, 2999L) AS g_ids", lists.format(n=3000, s="g"), "0 AS cell")
+
+    def score(column, cell):
+        return lambda q: np.full((len(q), len(column)), float(len(q) * len(column)))
+
+    found = approximate._best_in_blocks(pairs, score, 1, None).collect()
+    assert len(found) == 400 and max(r.score for r in found) <= 1 << 19
+
+
+def test_queries_are_sent_to_many_cells_some_at_a_time(spark):
+    asked = spark.range(0, 2000, 1, 1).selectExpr("id", "array(float(1), float(2)) AS v", "double(id) AS score")
+    found = approximate._asking(asked, 100, lambda d, score: np.ones((len(d), 100), bool) & (len(d) <= 400))
+    assert found.groupBy("id").count().where("count = 100").count() == 2000
