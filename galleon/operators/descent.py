@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleon.operators.pivots import usable
-from galleon.operators.search import best, ranked, scores
+from galleon.operators.search import SCORES, ranked, rounded
 from galleon.sources.shared import stored
 
 #: Groups that each row starts in.
@@ -29,17 +29,33 @@ def _tried(groups: DataFrame, width: int, counted: Accumulator | None) -> DataFr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                members = batch.column(0)[row].values
-                ids, new, least = (np.array(members.field(c)) for c in ("id", "new", "least"))
-                v = np.array(members.field("v").flatten(), np.float64).reshape(len(ids), -1)
-                meet = (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
-                n += int(meet.sum()) // 2
-                s = scores(v, v, "cosine")
-                s[~meet | (s <= least[:, None])] = np.nan
-                found = [(np.full(len(p), ids[i]), ids[p], s[i, p]) for i, p in best(s, ids, width, True) if len(p)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "other", "score"])
+            lists = batch.column(0)
+            size = np.diff(lists.offsets.to_numpy())
+            members = lists.flatten()
+            ids, new, least = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "new", "least"))
+            v = np.array(members.field("v").flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+            start, found = np.cumsum(size) - size, []
+            # Groups of one size are scored together.
+            for m in np.unique(size[size > 1]):
+                some = start[size == m]
+                step = max(1, SCORES // int(m * m))
+                for low in range(0, len(some), step):
+                    at = some[low : low + step, None] + np.arange(m)
+                    own, x = ids[at], v[at]
+                    meet = (new[at][:, :, None] | new[at][:, None, :]) & (own[:, :, None] != own[:, None, :])
+                    n += int(meet.sum()) // 2
+                    norm = np.sqrt((x * x).sum(2))
+                    s = rounded((x @ x.transpose(0, 2, 1)) / (norm[:, :, None] * norm[:, None, :]))
+                    key = np.where(meet & (s > least[at][:, :, None]), -s, np.inf)
+                    if m > width:
+                        key[key > np.partition(key, width - 1, 2)[:, :, width - 1 : width]] = np.inf
+                    g, i, j = np.nonzero(key < np.inf)
+                    row, other, got = at[g, i], own[g, j], s[g, i, j]
+                    by = np.lexsort((other, -got, row))
+                    by = by[np.arange(len(by)) - np.searchsorted(row[by], row[by]) < width]
+                    found.append((ids[row[by]], other[by], got[by]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "other", "score"])
         if counted is not None:
             counted.add(n)
 

@@ -1,8 +1,10 @@
 """The graph of neighbours by descent: recall against exact search, and the pairs it scores."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from galleon.operators import search
+from galleon.operators import descent, search
 from galleon.operators.descent import knn_graph
 
 SCHEMA = "vec_id long, embedding array<float>, id int, new string, score string"
@@ -43,3 +45,24 @@ def test_nulls_repeats_few_rows_and_empty_tables(spark):
     assert {(r.query_id, r["rank"]): r.item_id for r in got} == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
     assert knn_graph(frame(spark, []), 2).count() == 0 and knn_graph(frame(spark, rows[:1]), 2).columns == ["query_id", "item_id", "score", "rank"]
     assert knn_graph(frame(spark, rows[:1]), 2).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 50])
+def test_groups_of_a_batch_are_scored_together(width):
+    rng = np.random.default_rng(5)
+    groups = [[{"id": int(i), "new": bool(rng.random() < 0.5), "least": float(rng.choice([-2.0, 0.0])), "v": rng.normal(size=4).tolist()} for i in rng.permutation(90)[:m]] for m in (1, 2, 7, 7, 0, 40, 7)]
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, score, _):
+            return list(score([pa.RecordBatch.from_arrays([pa.array(groups)], ["members"])]))
+
+    out = descent._tried(Table(), width, None)
+    want = []
+    for members in groups:
+        for a in members:
+            s = [(-round(float(search.scores(np.array([a["v"]]), np.array([b["v"]]), "cosine")[0, 0]), 6), b["id"]) for b in members if a is not b and (a["new"] or b["new"])]
+            want += [(a["id"], b, -x) for x, b in sorted(s)[:width] if -x > a["least"]]
+    assert len(out) == 1 and np.allclose(sorted(zip(*out[0].to_pydict().values(), strict=True)), sorted(want), atol=1e-9)
