@@ -55,13 +55,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Whether Spark drops the shuffle files of a query at its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here.
 
-    A lost executor then costs a re-read, not a recomputation.
+    A lost executor then costs a re-read, not a recomputation. With ``release`` the
+    shuffle files that the write made go at its end, so what comes after does not
+    need disk besides them.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(RELEASE)
+    conf.set(RELEASE, "true" if release else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galleon.llm.common import payload, same, small_batches, stored
 from galleon.llm.suffixes import Scratch, suffix_array
-from galleon.llm.windows import CHUNK, first_equal, mixed, prefix_hashes, ragged, span_hashes, window_runs
+from galleon.llm.windows import CHUNK, first_equal, gram_hashes, mixed, prefix_hashes, ragged, span_hashes, window_runs
 
 #: Bytes of the string whose smallest hash routes a window.
 GRAM = 16
@@ -83,12 +83,54 @@ def _removals(doc: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.nd
     return _merged(doc[gone], start[gone], start[gone] + size[gone])
 
 
+def _partnered(runs: Runs, rows: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """Those of ``rows`` that can have a window which another one or themselves have again; ``offset`` are places of all runs.
+
+    A window lies around its minimizer: of what it has besides, half at least is on
+    one side. So equal windows agree in the minimizer with so many bytes before it,
+    or with so many behind it, and runs whose strings of both kinds no other run has
+    are left out. Where a minimizer stands twice in some run it has no such place,
+    and all runs of that key stay.
+    """
+    keys, inverse, often = np.unique(runs.key[rows], return_inverse=True, return_counts=True)
+    twice = np.zeros(len(keys), bool)
+    twice[inverse[~runs.single[rows]]] = True
+    side = (length - GRAM + 1) // 2
+    stays = twice[inverse]
+    at = np.flatnonzero((often[inverse] > 1) & ~stays)
+    if not len(at):
+        return rows[stays]
+    size = runs.size[rows[at]]
+    data = runs.data[ragged(offset[rows[at]], size)]
+    begin = np.cumsum(size) - size
+    sides: list[list[np.ndarray]] = [[], []]
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + CHUNK)))
+        base, own = int(begin[low]), at[low:high]
+        start, end = begin[low:high] - base, begin[low:high] - base + size[low:high]
+        prefix = prefix_hashes(data[base : base + int(end[-1])])
+        # All windows of a run have the places from its last window's start to its first window's last string in common.
+        rank = gram_hashes(prefix, GRAM) & np.uint64(0xFFFFFFFF00000000) | np.arange(int(end[-1]) - GRAM + 1, dtype=np.uint64)
+        least = np.minimum.reduceat(rank, np.stack([end - length, start + length - GRAM], 1).ravel())[::2]
+        middle = (np.minimum(least, rank[start + length - GRAM]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for out, first, last in ((sides[0], middle - side, middle + GRAM), (sides[1], middle, middle + GRAM + side)):
+            has = np.flatnonzero((first >= start) & (last <= end))
+            out.append(np.stack([own[has].astype(np.uint64), mixed(span_hashes(prefix, first[has], last[has]))]))
+        low = high
+    for parts in sides:
+        own, h = np.concatenate(parts, 1)
+        _, inverse, often = np.unique(h, return_inverse=True, return_counts=True)
+        stays[own[often[inverse] > 1].astype(np.int64)] = True
+    return rows[stays]
+
+
 def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, low, high) of the windows of a shard that also start earlier in it.
 
     Runs with equal bytes are settled first: all but the earliest go. Of the rest
-    only runs that share a key with another one, or hold their minimizer twice,
-    can have equal windows. All bytes of those are written one run after another
+    only some can have equal windows (see ``_partnered``), as most runs share no
+    more than their minimizer. All bytes of those are written one run after another
     and their suffixes are sorted; windows whose common prefix with their
     neighbour, as the sort carries it, reaches ``length`` are equal.
     """
@@ -96,8 +138,7 @@ def repeated_in_shard(runs: Runs, length: int, budget: int) -> tuple[np.ndarray,
     first = first_equal(_hashes(runs.data, offset, runs.size), runs.size, offset, runs.doc, runs.start, runs.data)
     spans = [_removals(runs.doc, runs.start, runs.size, first)]
     left = np.flatnonzero(first == np.arange(len(first)))
-    keys, inverse, often = np.unique(runs.key[left], return_inverse=True, return_counts=True)
-    left = left[(often[inverse] > 1) | ~runs.single[left]]
+    left = _partnered(runs, left, offset, length)
     if len(left):
         size = runs.size[left]
         text = np.zeros(int(size.sum()) + len(size), np.int16)
@@ -278,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), payload(text_col).alias("bytes"))
     found = repeated_spans(rows.where(F.col("id").isNotNull()).select(F.col("id").alias("doc"), "bytes"), length)
-    found = stored(found, "spans").groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    found = stored(found, "spans", release=True).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(found, same(F.col("id"), F.col("doc")), "left").select("id", "bytes", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

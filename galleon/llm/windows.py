@@ -35,6 +35,11 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * _power(len(prefix))[1][starts]
 
 
+def gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all ``gram``-byte strings, which rank them."""
+    return mixed((prefix[gram:] - prefix[:-gram]) * _power(len(prefix) - gram)[1])
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     done = 1
@@ -55,8 +60,7 @@ def window_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, n
     occurs just once in the run's bytes (then no two windows of the run are equal).
     """
     n = len(data) - gram + 1
-    prefix = prefix_hashes(data)
-    h = mixed((prefix[gram:] - prefix[:-gram]) * _power(n)[1])
+    h = gram_hashes(prefix_hashes(data), gram)
     place = np.arange(n, dtype=np.uint64)
     high = h & np.uint64(0xFFFFFFFF00000000)
     width = length - gram + 1

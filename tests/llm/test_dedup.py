@@ -1,5 +1,7 @@
+import glob
 import hashlib
 import random
+import tempfile
 from collections import Counter, defaultdict
 
 import duckdb
@@ -9,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from galleon.llm import minhash, suffixes
+from galleon.llm.common import RELEASE
 from galleon.llm.components import connected_components
 from galleon.llm import linededup
 from galleon.llm.linededup import common_runs, line_dedup, patience_blocks, repeated_lines
@@ -409,3 +412,55 @@ def test_windows_of_one_minimizer_are_spread_over_shards(spark, monkeypatch):
     want = removed(rows, 100)
     assert {i: len(found[i]) for i, _ in rows} == {i: w[1] for i, w in want.items()}
     assert max(loads[0].values()) < 40_000 * 1.5
+
+
+def shard_of(rows, length=100):
+    parts = []
+    for doc, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        first, last, key, single = window_runs(data, length, suffixdedup.GRAM)
+        size = last - first + length
+        parts.append(suffixdedup.Runs(np.full(len(first), doc), first, size, key, single, data[ragged(first, size)]))
+    return suffixdedup.Runs.join(parts)
+
+
+def test_runs_that_share_their_minimizer_alone_are_not_sorted(monkeypatch):
+    rng = random.Random(31)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = [own(50) for _ in range(30)], own(130)
+    rows = [(i, "".join(own(60) + p for p in short) + own(60) + (long if i < 2 else "") + own(60)) for i in range(40)]
+    lengths, plain = [], suffixdedup.suffix_array
+    monkeypatch.setattr(suffixdedup, "suffix_array", lambda text, *more: lengths.append(len(text)) or plain(text, *more))
+    doc, low, high = suffixdedup.repeated_in_shard(shard_of(rows), 100, 1 << 24)
+    assert {i: int((high - low)[doc == i].sum()) for i, _ in rows} == {i: w[1] for i, w in removed(rows, 100).items()}
+    assert int((high - low).sum()) >= 130 and sum(lengths) < 4000  # shared minimizers alone make over 100,000 bytes
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh "])
+def test_passages_about_as_long_as_a_window_are_found(letters):
+    rng = random.Random(37)
+    own = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passages = [own(n) for n in range(90, 125) for _ in range(6)] + ["xy" * 55, "x" * 104]
+    rows = [(i, "".join(own(rng.randrange(0, 120)) + p for p in rng.sample(passages, len(passages)))) for i in range(3)]
+    doc, low, high = suffixdedup.repeated_in_shard(shard_of(rows), 100, 1 << 24)
+    assert {i: int((high - low)[doc == i].sum()) for i, _ in rows} == {i: w[1] for i, w in removed(rows, 100).items()}
+
+
+def test_no_shuffle_of_the_search_is_left_when_its_spans_are_stored(spark, monkeypatch):
+    left, plain = [], suffixdedup.stored
+
+    def watched(df, name, **more):
+        before = set(shuffles())
+        out = plain(df, name, **more)
+        left.append(set(shuffles()) - before)
+        return out
+
+    def shuffles():
+        local = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+        return glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data")
+
+    monkeypatch.setattr(suffixdedup, "stored", watched)
+    rng = random.Random(41)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(400))) for i in range(20)]
+    assert remove_repeats(frame(spark, [*rows, (20, rows[3][1])]), 100).where("n_removed > 0").count() == 1
+    assert left == [set()] and shuffles() and spark.conf.get(RELEASE) == "false"
