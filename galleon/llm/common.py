@@ -68,11 +68,13 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
     before = conf.get(RELEASE)
-    conf.set(RELEASE, "true" if release else before)
+    if release:
+        conf.set(RELEASE, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(RELEASE, before)
+        if release:
+            conf.set(RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
